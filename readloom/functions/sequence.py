@@ -12,7 +12,7 @@ GAP = "-"
 
 def normalize(seq: Column) -> Column:
     """Upper-case bases; any other letter becomes A."""
-    return F.regexp_replace(F.upper(seq), "[^ACGT]", "A")
+    return F.regexp_replace(F.translate(seq, BASES.lower(), BASES), "[^ACGT]", "A")
 
 
 def project_text(text: Column) -> Column:
@@ -22,7 +22,7 @@ def project_text(text: Column) -> Column:
 
 def encode(seq: Column) -> Column:
     """Base codes: A, C, G, T are 0 to 3, other letters 4, a gap 5."""
-    bases = F.regexp_replace(F.upper(seq), "[^ACGT-]", "N")
+    bases = F.regexp_replace(F.translate(seq, BASES.lower(), BASES), "[^ACGT-]", "N")
     return F.translate(bases, "ACGTN-", "012345")
 
 

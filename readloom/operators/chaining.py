@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from readloom.functions.arrow import columns, run_starts, to_batch, whole_groups
 from readloom.operators.blocks import best_of_runs, ddf_partners
 from readloom.options import ChainOptions, MapOptions
+from readloom.schemas import CANDIDATES, FWD
 
 ROWS_PER_STEP = 400_000
 LOOKBACK = 32, 512  # least and most predecessors looked at in one vector step
@@ -283,13 +284,19 @@ def chain_pairs(seeds: DataFrame, k: int, min_seeds: int, opts: ChainOptions = C
     return sorted_rows.mapInArrow(search, CANDIDATE_ROWS).drop("volume_id")
 
 
-def band_chains(seeds: DataFrame, min_seeds: int, opts: ChainOptions = ChainOptions()) -> DataFrame:
-    """Simplified chaining in plain SQL: seeds of a pair in target order form
-    one chain until the gap or the diagonal shift gets too large."""
+def band_chains(seeds: DataFrame, k: int, min_seeds: int, opts: ChainOptions = ChainOptions()) -> DataFrame:
+    """Candidates by simplified chaining in plain SQL: seeds of a pair in
+    target order form one chain until the gap or the diagonal shift gets too
+    large.
+
+    Needs qid, qdir, qsize, sid, ssize, qoff, soff. One pair's seeds are
+    bounded by the read lengths and the k-mer cutoff.
+    """
     order = Window.partitionBy("qid", "qdir", "sid").orderBy("soff", "qoff")
     ds = F.col("soff") - F.lag("soff").over(order)
     dq = F.col("qoff") - F.lag("qoff").over(order)
-    stepped = seeds.select("qid", "qdir", "sid", "qoff", "soff", ds.alias("ds"), dq.alias("dq"))
+    pair = ["qid", "qdir", "sid", "qsize", "ssize"]
+    stepped = seeds.select(*pair, "qoff", "soff", ds.alias("ds"), dq.alias("dq"))
     breaks = (
         F.col("ds").isNull()
         | (F.col("ds") > opts.max_dist)
@@ -298,13 +305,15 @@ def band_chains(seeds: DataFrame, min_seeds: int, opts: ChainOptions = ChainOpti
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = stepped.withColumn("brk", breaks.cast("int"))
     numbered = marked.withColumn("chain", F.sum("brk").over(running))
-    gain = F.when(F.col("brk") == 1, 0).otherwise(F.least(F.abs("dq"), F.col("ds")))
-    scored = numbered.groupBy("qid", "qdir", "sid", "chain").agg(
+    gain = F.when(F.col("brk") == 1, F.lit(0)).otherwise(F.least(F.abs("dq"), F.col("ds")))
+    scored = numbered.groupBy(*pair, "chain").agg(
         F.count("*").alias("n_seeds"),
-        F.sum(gain).alias("score"),
+        F.sum(gain).cast("int").alias("score"),
         F.min("qoff").alias("qbeg"),
-        F.max("qoff").alias("qlast"),
+        (F.max("qoff") + k).alias("qend"),
         F.min("soff").alias("sbeg"),
-        F.max("soff").alias("slast"),
+        (F.max("soff") + k).alias("send"),
     )
-    return scored.where((F.col("n_seeds") >= min_seeds) & (F.col("score") >= opts.min_score))
+    kept = scored.where((F.col("n_seeds") >= min_seeds) & (F.col("score") >= opts.min_score))
+    anchored = {"qoff": F.col("qend"), "soff": F.col("send"), "sdir": F.lit(FWD)}
+    return kept.withColumns(anchored).select(*CANDIDATES.names, "n_seeds")
