@@ -531,7 +531,7 @@ QUERIES = [
     Query("a10_coverage", "sid beg stop cov",
           lambda s, d: intervals.coverage(inp.spans(s, d)).withColumnRenamed("end", "stop"), "SELECT * FROM cov WHERE cov > 0"),
     Query("a11_full_regions", "sid beg stop is_full", lambda s, d: _full(s, d).withColumnRenamed("end", "stop"),
-          "SELECT r.sid, r.beg, r.stop, CASE WHEN coalesce(sum(least(r.stop, g.stop) - greatest(r.beg, g.beg)), 0) + 200"
+          "SELECT r.sid, r.beg, r.stop, CASE WHEN sum(CASE WHEN g.sid IS NULL THEN 0 ELSE least(r.stop, g.stop) - greatest(r.beg, g.beg) END) + 200"
           " >= r.stop - r.beg THEN 1 ELSE 0 END AS is_full FROM (SELECT DISTINCT * FROM span_rows) r LEFT JOIN deep g"
           " ON g.sid = r.sid AND g.beg < r.stop AND g.stop > r.beg GROUP BY r.sid, r.beg, r.stop"),
     Query("a12_link_votes", "sid t_pos delta q_base:s p_t_pos p_delta p_q_base:s link_count weight:d", _links,
