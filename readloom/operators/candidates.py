@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.operators.ids import id_bucket, running_total
@@ -46,19 +46,13 @@ def rank_batches(cands: DataFrame, by: str, batch: int) -> DataFrame:
     return ranked.withColumn("batch", F.floor((F.col("rank") - 1) / batch).cast("long"))
 
 
-def flip(cands: DataFrame) -> DataFrame:
-    """The same candidates seen from the query: it becomes the target.
-
-    Targets stay on the forward strand, so for a reverse query both reads are
-    turned around: every coordinate is counted from the other end.
-    """
+def _flipped() -> list[Column]:
     turned = F.col("qdir") == REV
 
-    def side(prefix: str, beg: str) -> dict:
-        size = F.col(prefix + "size")
-        ends = {"beg": prefix + "end", "end": prefix + "beg", "off": prefix + "off"}
-        mirror = size - F.col(ends[beg])
-        return F.when(turned, mirror).otherwise(F.col(prefix + beg))
+    def side(prefix: str, part: str) -> Column:
+        opposite = {"beg": "end", "end": "beg", "off": "off"}[part]
+        mirrored = F.col(prefix + "size") - F.col(prefix + opposite)
+        return F.when(turned, mirrored).otherwise(F.col(prefix + part))
 
     swap = {
         "qid": F.col("sid"),
@@ -72,14 +66,23 @@ def flip(cands: DataFrame) -> DataFrame:
     for part in ("beg", "end", "off"):
         swap["q" + part] = side("s", part)
         swap["s" + part] = side("q", part)
-    types = {f.name: f.dataType for f in CANDIDATES}
-    return cands.select(*[swap[c].cast(types[c]).alias(c) for c in CANDIDATES.names])
+    return [swap[f.name].cast(f.dataType).alias(f.name) for f in CANDIDATES]
+
+
+def flip(cands: DataFrame) -> DataFrame:
+    """The same candidates seen from the query: it becomes the target.
+
+    Targets stay on the forward strand, so for a reverse query both reads are
+    turned around: every coordinate is counted from the other end.
+    """
+    return cands.select(*_flipped())
 
 
 def mirror(cands: DataFrame) -> DataFrame:
-    """Each candidate under both of its reads as target: twice the rows."""
-    plain = cands.select(*CANDIDATES.names)
-    return plain.union(flip(plain))
+    """Each candidate under both of its reads as target: twice the rows, from
+    one pass over the input."""
+    plain = [F.col(f.name).cast(f.dataType).alias(f.name) for f in CANDIDATES]
+    return cands.select(F.inline(F.array(F.struct(*plain), F.struct(*_flipped()))))
 
 
 def with_partition(cands: DataFrame, batch_size: int) -> DataFrame:

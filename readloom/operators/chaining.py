@@ -13,6 +13,7 @@ from readloom.functions.arrow import columns, run_starts, to_batch, whole_groups
 from readloom.operators.blocks import best_of_runs, ddf_partners
 from readloom.options import ChainOptions, MapOptions
 from readloom.schemas import CANDIDATES, FWD
+from readloom.session import spread
 
 ROWS_PER_STEP = 400_000
 LOOKBACK = 32, 512  # least and most predecessors looked at in one vector step
@@ -258,7 +259,7 @@ def chain_blocks(seeds: DataFrame, opts: MapOptions, chain_opts: ChainOptions =
     rows = seeds.select(
         *keys, (F.col("sref") + F.col("soff")).alias("goff"), "qoff", "sref", "ssize", "qsize", "sid"
     )
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, "goff", "qoff")
+    sorted_rows = spread(rows, *keys).sortWithinPartitions(*keys, "goff", "qoff")
     return sorted_rows.mapInArrow(search, CANDIDATE_ROWS)
 
 
@@ -280,7 +281,7 @@ def chain_pairs(seeds: DataFrame, k: int, min_seeds: int, opts: ChainOptions = C
             yield candidate_rows(found, dict(fields, volume_id=np.zeros(len(found), dtype=np.int64)))
 
     rows = seeds.select(*keys, "qoff", "soff", "qsize", "ssize")
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, "soff", "qoff")
+    sorted_rows = spread(rows, *keys).sortWithinPartitions(*keys, "soff", "qoff")
     return sorted_rows.mapInArrow(search, CANDIDATE_ROWS).drop("volume_id")
 
 

@@ -31,7 +31,8 @@ def running_total(
     one, in ``order`` (a total order), restarted per ``within`` columns.
 
     ``buckets`` lists (expression, ascending) pairs that refine ``within`` and
-    sort the same way as ``order``.
+    sort the same way as ``order``. The input is read twice, for the totals and
+    for the rows, so it should be a stored table when it is costly to make.
     """
     within = within or []
     names = [f"__b{i}" for i in range(len(buckets))]

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 def coverage(spans: DataFrame) -> DataFrame:
     """Maximal stretches between span ends, with their coverage above 0."""
-    begins = spans.select("sid", F.col("beg").alias("pos"), F.lit(1).alias("step"))
-    ends = spans.select("sid", F.col("end").alias("pos"), F.lit(-1).alias("step"))
-    steps = begins.union(ends).groupBy("sid", "pos").agg(F.sum("step").alias("step"))
+    ends = F.array(
+        F.struct(F.col("beg").alias("pos"), F.lit(1).alias("step")),
+        F.struct(F.col("end").alias("pos"), F.lit(-1).alias("step")),
+    )
+    steps = spans.select("sid", F.inline(ends)).groupBy("sid", "pos").agg(F.sum("step").alias("step"))
     order = Window.partitionBy("sid").orderBy("pos")
     segments = steps.select(
         "sid",

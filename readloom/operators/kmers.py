@@ -32,8 +32,10 @@ def kmers(reads: DataFrame, k: int, stride: int = 1, hashed: bool = False) -> Da
 
 def both_strands(reads: DataFrame) -> DataFrame:
     """Each read twice: as it is (qdir 0) and reverse-complemented (qdir 1)."""
-    forward = reads.withColumn("qdir", F.lit(0))
-    return forward.union(reads.withColumn("seq", revcomp(F.col("seq"))).withColumn("qdir", F.lit(1)))
+    strands = F.array(
+        F.struct(F.lit(0).alias("qdir"), F.col("seq")), F.struct(F.lit(1).alias("qdir"), revcomp(F.col("seq")).alias("seq"))
+    )
+    return reads.select(*[c for c in reads.columns if c != "seq"], F.inline(strands))
 
 
 def query_kmers(reads: DataFrame, k: int, stride: int) -> DataFrame:

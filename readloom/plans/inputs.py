@@ -79,11 +79,16 @@ def read_kmers(spark: SparkSession, sf_dir: str, stride: int = 1) -> DataFrame:
     return kmers(reads(spark, sf_dir).select("read_id", "seq"), OPTS.kmer_size, stride)
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by plain-SQL chaining, which SQL elsewhere can repeat."""
     return band_chains(read_seeds(spark, sf_dir), OPTS.kmer_size, OPTS.min_block_score)
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table: later stages start from stored candidates."""
+    return stored(spark, sf_dir, "candidates", candidates_of)
+
+
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate chains taken as overlaps; the share of the chain's query span
     that the score explains stands for the identity."""

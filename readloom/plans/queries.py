@@ -92,7 +92,6 @@ def _flip(prefix: str, part: str) -> str:
 
 
 _CAND = "qid, sid, score, qdir, qbeg, qend, qoff, qsize, sdir, sbeg, send, soff, ssize"
-_OVERHANG = {"ql": "qoff", "qr": "qsize - qend", "sl": "soff", "sr": "ssize - send"}
 _CLASS = (
     "CASE WHEN qoff <= 200 AND qsize - qend <= 200 THEN 'contained'"
     " WHEN soff <= 200 AND ssize - send <= 200 THEN 'contains'"
@@ -296,11 +295,7 @@ def _full(spark: SparkSession, d: str) -> DataFrame:
 def _locate(spark: SparkSession, d: str) -> DataFrame:
     placed = kmers.kmers(inp.reads(spark, d).select("read_id", "offset", "seq"), K, Z)
     points = placed.select((F.col("offset") + F.col("pos")).alias("goff"))
-    return ids_located(points, inp.reads(spark, d))
-
-
-def ids_located(points: DataFrame, reads: DataFrame) -> DataFrame:
-    return intervals.locate(points, reads)
+    return intervals.locate(points, inp.reads(spark, d))
 
 
 def _attached(spark: SparkSession, d: str) -> DataFrame:
@@ -372,10 +367,6 @@ def _ref_seeds(spark: SparkSession, d: str) -> DataFrame:
     return jobs.seeds(inp.reads(spark, d), inp.OPTS, inp.targets(spark, d))
 
 
-def _band_cols(df: DataFrame) -> DataFrame:
-    return df
-
-
 _CAND_COLS = _CAND.replace(",", "")
 _OVL_COLS = "qid sid ident_perc:d vscore qdir qoff qend qext qsize sdir soff send sext ssize"
 
@@ -605,7 +596,7 @@ QUERIES = [
           " (ORDER BY part, id, lft) - 1 AS read_id, length(seq) AS len, md5(seq) AS digest FROM (SELECT 0 AS part, * FROM"
           " piece_rows UNION ALL SELECT 1 AS part, * FROM rest_rows))"),
     # Grouped operators and jobs
-    Query("g4v_band_chains", _CAND_COLS + " n_seeds", inp.candidates, f"SELECT {_CAND}, n_seeds FROM cands"),
+    Query("g4v_band_chains", _CAND_COLS + " n_seeds", inp.candidates_of, f"SELECT {_CAND}, n_seeds FROM cands"),
     Query("g4_chains", _CAND_COLS, lambda s, d: chaining.chain_pairs(inp.read_seeds(s, d), K, SCORE), None),
     Query("g7_selected_alignments", "sid rank qid qdir a_soff a_send ident:d qaln:s taln:s", _selected, None),
     Query("g10v_column_majority", "sid t_pos delta base:s votes", lambda s, d: tags.column_majority(_links(s, d)),

@@ -33,6 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by key into the configured number of partitions.
+
+    Adaptive execution merges partitions by their size in bytes. Steps that
+    compute long on few bytes would end up in few tasks that way, so their
+    number of partitions is stated.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 class Workspace:
     """Tables of one run, written to the shared folder.
 
