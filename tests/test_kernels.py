@@ -145,3 +145,11 @@ def test_whole_groups():
     assert [v for p in parts for v in p.column("v").to_pylist()] == list(range(len(keys)))
     seen = [set(p.column("k").to_pylist()) for p in parts]
     assert all(not (a & b) for i, a in enumerate(seen) for b in seen[i + 1 :])
+
+
+@pytest.mark.parametrize("q, t", [([0, 1, 2, 1, 1], [0, 1, 2, 1]), ([0], [0]), ([0], [1]), ([0] * 8, [0] * 8), ([1, 0], [0] * 40)])
+def test_align_tiny_blocks(q, t):
+    q, t = np.array(q, dtype=np.uint8), np.array(t, dtype=np.uint8)
+    for qoff in (0, len(q)):
+        (r,) = al.align_from_anchors([q], [t], [qoff], [len(t) if qoff else 0], 0.5)
+        assert bytes(al.LETTER[q[r[0] : r[1]]]) == r[5].tobytes().replace(b"-", b"")
