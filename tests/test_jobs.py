@@ -161,18 +161,24 @@ def test_selection_equals_a_sequential_walk(spark, reads, work):
     seqs = {r.read_id: r.seq for r in reads.collect()}
     want = set()
     by_target = {}
-    for r in mirrored.collect():
+    everything = mirrored.collect()
+
+    def codes(text):
+        return al.CODE[np.frombuffer(text.encode(), dtype=np.uint8)]
+
+    queries = [codes(seqs[r.qid].translate(COMPLEMENT)[::-1] if r.qdir else seqs[r.qid]) for r in everything]
+    targets = [codes(seqs[r.sid]) for r in everything]
+    results = al.align_from_anchors(queries, targets, [r.qoff for r in everything], [r.soff for r in everything], opts.error)
+    aligned = dict(zip(everything, results))
+    for r in everything:
         by_target.setdefault(r.sid, []).append(r)
     for sid, group in by_target.items():
         if len(group) < opts.high_accuracy_coverage:
             continue
         group.sort(key=lambda r: (-r.score, r.qid, r.qdir, r.qoff, r.soff, r.qbeg, r.sbeg))
-        target = al.CODE[np.frombuffer(seqs[sid].encode(), dtype=np.uint8)]
 
         def align(r):
-            text = seqs[r.qid].translate(COMPLEMENT)[::-1] if r.qdir else seqs[r.qid]
-            query = al.CODE[np.frombuffer(text.encode(), dtype=np.uint8)]
-            (result,) = al.align_from_anchors([query], [target], [r.qoff], [r.soff], opts.error)
+            result = aligned[r]
             return result if len(result[5]) >= opts.min_align_size else None
 
         def good(r, a):
@@ -195,7 +201,7 @@ def test_selection_equals_a_sequential_walk(spark, reads, work):
         if len(idents) < 5:
             continue
         cutoff = np.mean(idents) - 5 * np.std(idents)
-        depth = np.zeros(len(target), dtype=int)
+        depth = np.zeros(group[0].ssize, dtype=int)
         limit = opts.coverage_limit(cutoff)
         for r, a, _ in first:
             if a[4] >= cutoff:
