@@ -11,6 +11,7 @@ from readloom.functions.sequence import kmer_hash, revcomp
 # against skew; this also bounds the broadcast list.
 HOT_KMERS = 1024
 HOT_SAMPLE = 1024
+SHARE_HITS = 64
 
 
 def kmers(reads: DataFrame, k: int, stride: int = 1, hashed: bool = False) -> DataFrame:
@@ -59,35 +60,65 @@ def kmer_counts(kmer_rows: DataFrame) -> DataFrame:
     return kmer_rows.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+def _proposed(kmer_rows: DataFrame, key: list[str], place: list[str]) -> DataFrame:
+    """The HOT_KMERS most frequent k-mers of a fixed hash sample of the rows,
+    with their count in it. ``place`` tells rows apart."""
+    sampled = kmer_rows.where(F.pmod(F.xxhash64(*place), F.lit(HOT_SAMPLE)) == 0)
+    counts = sampled.groupBy(*key).agg(F.count("*").alias("hits"))
+    return counts.orderBy(F.desc("hits"), *key).limit(HOT_KMERS)
+
+
 def frequent_kmers(kmer_rows: DataFrame, max_count: int) -> DataFrame:
     """At most HOT_KMERS k-mers that really occur more than ``max_count`` times.
 
-    A fixed hash sample only proposes k-mers; each proposal is then counted
-    over all rows. A k-mer holding a noticeable share of all rows is always
-    proposed, so after removing the result no single k-mer is large.
+    A hash sample only proposes k-mers; each proposal is then counted over all
+    rows. A k-mer holding a noticeable share of all rows is always proposed, so
+    after removing the result no single k-mer is large.
     """
     key = _key(kmer_rows)
-    sampled = kmer_rows.where(F.pmod(F.xxhash64("sid", "soff"), F.lit(HOT_SAMPLE)) == 0)
-    proposed = sampled.groupBy(*key).count().orderBy(F.desc("count"), *key).limit(HOT_KMERS).select(*key)
+    proposed = _proposed(kmer_rows, key, ["sid", "soff"]).select(*key)
     counted = kmer_rows.join(F.broadcast(proposed), key, "left_semi").groupBy(*key).count()
     return counted.where(F.col("count") > max_count).select(*key)
 
 
-def kmer_index(kmer_rows: DataFrame, max_count: int) -> DataFrame:
+def query_shares(queries: DataFrame) -> DataFrame:
+    """How often the queries' most frequent k-mers should be split: ``shares``
+    of about SHARE_HITS * HOT_SAMPLE rows each. At most HOT_KMERS rows, none
+    where no k-mer is that frequent."""
+    proposed = _proposed(queries, ["kmer"], ["qid", "qdir", "qoff"]).where(F.col("hits") > SHARE_HITS)
+    return proposed.select("kmer", F.ceil(F.col("hits") / SHARE_HITS).cast("int").alias("shares"))
+
+
+def kmer_index(kmer_rows: DataFrame, max_count: int, shares: DataFrame | None = None) -> DataFrame:
     """Target k-mer rows whose k-mer occurs at most ``max_count`` times.
 
     Counting is per volume when the rows carry one. The frequent k-mers leave
     through a broadcast list of bounded length before the shuffle, so no task
     receives a frequent k-mer; the exact cutoff for all others is a count over
-    the shuffled rows. The result is partitioned and sorted by k-mer, ready for
-    the seed join.
+    the shuffled rows. The result is partitioned and sorted for the seed join.
+
+    With ``shares`` a k-mer that the queries split is here once per share
+    (column ``share``). Each copy has all its rows, so counts stay right, and
+    there are at most ``max_count`` of them per share.
     """
     key = _key(kmer_rows)
     frequent = frequent_kmers(kmer_rows, max_count)
-    rest = kmer_rows.join(F.broadcast(frequent), key, "left_anti").repartition("kmer")
-    counted = rest.withColumn("__n", F.count("*").over(Window.partitionBy(*key)))
+    rest = kmer_rows.join(F.broadcast(frequent), key, "left_anti")
+    place = ["kmer"]
+    if shares is not None:
+        copies = F.sequence(F.lit(0), F.coalesce(F.col("shares"), F.lit(1)) - 1)
+        rest = rest.join(F.broadcast(shares), "kmer", "left").withColumn("share", F.explode(copies)).drop("shares")
+        place.append("share")
+    own = [c for c in key if c != "kmer"]
+    counted = rest.repartition(*place).withColumn("__n", F.count("*").over(Window.partitionBy(*place, *own)))
     return counted.where(F.col("__n") <= max_count).drop("__n")
 
 
+def split_queries(queries: DataFrame, shares: DataFrame) -> DataFrame:
+    """Add ``share``: which copy of the index a query k-mer row is to meet."""
+    of = F.pmod(F.xxhash64("qid", "qdir", "qoff"), F.coalesce(F.col("shares"), F.lit(1))).cast("int")
+    return queries.join(F.broadcast(shares), "kmer", "left").withColumn("share", of).drop("shares")
+
+
 def _key(kmer_rows: DataFrame) -> list[str]:
     return ["kmer", "volume_id"] if "volume_id" in kmer_rows.columns else ["kmer"]

@@ -14,8 +14,8 @@ from readloom.operators.chaining import chain_blocks
 from readloom.operators.consensus import consensus
 from readloom.operators.extension import drop_contained, to_overlaps
 from readloom.operators.ids import assign_volumes, dense_ids, merge_reads, with_offsets
-from readloom.operators.kmers import kmer_index, query_kmers, target_kmers
-from readloom.operators.seeds import seed_join
+from readloom.operators.kmers import query_kmers, target_kmers
+from readloom.operators.seeds import find_seeds
 from readloom.operators.stats import length_report, length_stats, split_long
 from readloom.options import FAST, SENSITIVE, ConsensusOptions, MapOptions, PartitionOptions
 from readloom.schemas import CANDIDATES
@@ -40,9 +40,8 @@ def placed_targets(reads: DataFrame, volume_size: int) -> DataFrame:
 def seeds(reads: DataFrame, opts: MapOptions, targets: DataFrame | None = None) -> DataFrame:
     """Seeds of all reads against each other, or against separate targets."""
     against = placed_targets(reads if targets is None else targets, opts.volume_size)
-    index = kmer_index(target_kmers(against, opts.kmer_size), opts.max_kmer_count)
     queries = query_kmers(reads, opts.kmer_size, opts.stride)
-    return seed_join(queries, index, pairwise=targets is None)
+    return find_seeds(queries, target_kmers(against, opts.kmer_size), opts.max_kmer_count, pairwise=targets is None)
 
 
 def find_candidates(reads: DataFrame, opts: MapOptions = MapOptions()) -> DataFrame:

@@ -233,3 +233,23 @@ def test_index_drops_a_k_mer_with_a_third_of_all_rows(spark):
     n = {r.kmer: r["count"] for r in placed.groupBy("kmer").count().collect()}
     assert n["AAAAA"] > sum(n.values()) / 3
     assert {r.kmer for r in kmer_index(placed, 50).select("kmer").distinct().collect()} == {k for k, c in n.items() if c <= 50}
+
+
+def test_seeds_with_a_hot_query_k_mer(spark, monkeypatch):
+    # Over a third of all query k-mers are one that the targets hold twice.
+    from readloom.operators import kmers as km
+    from readloom.operators.seeds import find_seeds, seed_join
+
+    monkeypatch.setattr(km, "HOT_SAMPLE", 4)
+    monkeypatch.setattr(km, "SHARE_HITS", 8)
+    queries = spark.createDataFrame(
+        [(i, "C" + "A" * 60 + f"{i:b}".replace("0", "C").replace("1", "GT") * 5) for i in range(150)], "read_id long, seq string"
+    ).withColumn("len", F.length("seq"))
+    targets = spark.createDataFrame([(0, "GAAAAAAG"), (1, "CGTGTCCGTA")], "read_id long, seq string").withColumn("len", F.length("seq"))
+    asked, rows_ = km.query_kmers(queries, 5, 1), km.target_kmers(targets, 5)
+    shares = km.query_shares(asked)
+    assert shares.where("shares > 10").count() >= 1
+    got = find_seeds(asked, rows_, 10, pairwise=False)
+    want = seed_join(asked, rows_, pairwise=False)
+    columns = ["qid", "qdir", "qoff", "sid", "soff"]
+    assert rows(got, *columns) == rows(want, *columns) and got.count() > 10_000
