@@ -79,7 +79,7 @@ def assign_volumes(reads: DataFrame, limit: int) -> DataFrame:
     Needs ``offset``. Batches are near-equal in size; a read that crosses a
     limit stays in the batch it starts in.
     """
-    return reads.withColumn("volume_id", F.floor(F.col("offset") / F.lit(limit)).cast("long"))
+    return reads.withColumn("volume_id", F.expr(f"offset div {int(limit)}"))
 
 
 def volume_catalog(reads: DataFrame) -> DataFrame:

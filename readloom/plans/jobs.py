@@ -31,10 +31,9 @@ def build_reads(sequences: DataFrame, key: str = "ordinal") -> DataFrame:
 
 
 def placed_targets(reads: DataFrame, volume_size: int) -> DataFrame:
-    """Reads with their volume and their start ``sref`` inside it."""
-    placed = assign_volumes(reads, volume_size)
-    starts = placed.groupBy("volume_id").agg(F.min("offset").alias("__start"))
-    return placed.join(starts, "volume_id").withColumn("sref", F.col("offset") - F.col("__start")).drop("__start")
+    """Reads with their volume and where they start in it, ``sref``. Both
+    follow from the read's own offset, so nothing is joined or shuffled."""
+    return assign_volumes(reads, volume_size).withColumn("sref", F.col("offset") - F.col("volume_id") * volume_size)
 
 
 def seeds(reads: DataFrame, opts: MapOptions, targets: DataFrame | None = None) -> DataFrame:

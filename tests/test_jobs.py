@@ -69,7 +69,7 @@ def test_each_volume_is_searched_on_its_own(reads):
     volumes = [r.volume_id for r in placed.select("volume_id").distinct().collect()]
     assert len(volumes) > 3
     one = placed.where("volume_id = 2")
-    assert one.agg(F.min("sref")).first()[0] == 0
+    assert one.where("sref != offset % 30000").isEmpty() and one.count() > 3
     alone = seed_join(query_kmers(reads, 13, 10), kmer_index(target_kmers(one, 13), opts.max_kmer_count))
     want = top_candidates(chain_blocks(alone, opts), ["qid"], opts.num_output).drop("volume_id")
     got = found.join(one.select(F.col("read_id").alias("sid")), "sid", "left_semi").select(*want.columns)
