@@ -349,6 +349,18 @@ def _selected(spark: SparkSession, d: str) -> DataFrame:
     return cns.select_alignments(cands, inp.reads(spark, d), jobs.ConsensusOptions(), work)
 
 
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    best = cand.top_candidates(inp.candidates(spark, d), ["qid"], inp.OPTS.num_candidates)
+    return cns.aligned_candidates(best, inp.reads(spark, d), jobs.ConsensusOptions())
+
+
+def _cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    best = cand.top_candidates(cand.mirror(inp.candidates(spark, d)), ["sid"], cns.FIRST, rank="rank")
+    aligned = cns.aligned_candidates(best, inp.reads(spark, d), jobs.ConsensusOptions())
+    first = Workspace(spark).keep("first", cns.first_alignments(aligned))
+    return cns.target_cutoffs(first, jobs.ConsensusOptions())
+
+
 def _corrected(spark: SparkSession, d: str) -> DataFrame:
     corrected, raw = jobs.correct(inp.reads(spark, d), 2, Workspace(spark))
     return corrected.withColumn("kind", F.lit("corrected")).union(raw.withColumn("kind", F.lit("raw")))
@@ -598,6 +610,8 @@ QUERIES = [
     # Grouped operators and jobs
     Query("g4v_band_chains", _CAND_COLS + " n_seeds", inp.candidates_of, f"SELECT {_CAND}, n_seeds FROM cands"),
     Query("g4_chains", _CAND_COLS, lambda s, d: chaining.chain_pairs(inp.read_seeds(s, d), K, SCORE), None),
+    Query("g3_aligned_pairs", "qid qdir sid qoff soff a_qoff a_qend a_soff a_send ident:d qaln:s taln:s", _aligned, None),
+    Query("g6_target_cutoffs", "sid cutoff:d max_cov last_rank ssize", _cutoffs, None),
     Query("g7_selected_alignments", "sid rank qid qdir a_soff a_send ident:d qaln:s taln:s", _selected, None),
     Query("g10v_column_majority", "sid t_pos delta base:s votes", lambda s, d: tags.column_majority(_links(s, d)),
           "SELECT sid, t_pos, delta, q_base AS base, coverage AS votes FROM (SELECT *, row_number() OVER (PARTITION BY sid, t_pos,"
