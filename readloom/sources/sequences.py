@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,22 @@ def list_paths(spark: SparkSession, list_path: str) -> list[str]:
     return [row[0].strip() for row in spark.read.text(list_path).collect() if row[0].strip()]
 
 
+# File URIs come with one or three slashes after the scheme.
+ONE_SLASH = ("^file:/+", "file:/")
+
+
+def _places(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Place in the list of each given file or folder, by its full name. One
+    row per name that the caller passed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def full(path: str) -> str:
+        name = jvm.org.apache.hadoop.fs.Path(path)
+        return re.sub(*ONE_SLASH, name.getFileSystem(conf).makeQualified(name).toUri().toString())
+
+    return spark.createDataFrame([(full(p), i) for i, p in enumerate(paths)], "given string, list_pos int")
+
+
 def _records(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
     """Pieces between separators, with ``list_pos``, ``file`` and their place
     ``line`` in the file (0-based).
@@ -31,21 +49,26 @@ def _records(spark: SparkSession, paths: list[str], separator: str) -> DataFrame
     the pieces of a split; the pieces of earlier splits of the file are counted
     and added. That table has one row per split.
     """
-    parts = [
+    rows = (
         spark.read.option("lineSep", separator)
-        .text(path)
+        .text(paths)
         .select(
-            F.lit(i).alias("list_pos"),
-            F.col("_metadata.file_path").alias("file"),
+            F.regexp_replace("_metadata.file_path", *ONE_SLASH).alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("row"),
             "value",
         )
-        for i, path in enumerate(paths)
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part)
+    )
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    places = F.broadcast(_places(spark, paths))
+    by_file = rows.join(places.withColumnRenamed("given", "file"), "file", "left")
+    by_folder = places.select(F.col("given").alias("folder"), F.col("list_pos").alias("folder_pos"))
+    rows = (
+        by_file.withColumn("folder", folder)
+        .join(F.broadcast(by_folder), "folder", "left")
+        .withColumn("list_pos", F.coalesce("list_pos", "folder_pos", F.lit(0)))
+        .drop("folder", "folder_pos")
+    )
     key = ["list_pos", "file", "split"]
     before = (
         Window.partitionBy("list_pos", "file").orderBy("split").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,12 +122,15 @@ def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, paths: str | list[str], format: str = "auto") -> DataFrame:
-    """Sequences of one or more files of one format, in list order.
+    """Sequences of files or folders, in list order.
 
     Columns list_pos, file, record (place in the file), name, comment, seq,
-    qual. An empty file gives no rows.
+    qual. An empty file gives no rows. All files of a format are one scan;
+    ``auto`` looks at each given path first, so name the format for long lists.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if len(set(paths)) < len(paths):
+        raise ValueError("a path is given twice")
     if format == "auto":
         kinds = {path: sniff(spark, path) for path in paths}
         unknown = [path for path, kind in kinds.items() if kind == "unknown"]
@@ -115,16 +141,15 @@ def read_sequences(spark: SparkSession, paths: str | list[str], format: str = "a
     else:
         fasta, fastq = (paths, []) if format == "fasta" else ([], paths)
 
-    def at_list_place(df: DataFrame, chosen: list[str]) -> DataFrame:
-        places = F.array(*[F.lit(paths.index(p)) for p in chosen])
-        return df.withColumn("list_pos", F.get(places, F.col("list_pos")))
-
-    found = []
-    if fasta:
-        found.append(at_list_place(read_fasta(spark, fasta), fasta))
-    if fastq:
-        found.append(at_list_place(read_fastq(spark, fastq), fastq))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    found = [read(spark, chosen) for read, chosen in ((read_fasta, fasta), (read_fastq, fastq)) if chosen]
+    if len(found) == 1:
+        return found[0]
+    # Two scans number their own lists; put both back into the common order.
+    merged = []
+    for df, chosen in zip(found, (fasta, fastq)):
+        own = F.array(*[F.lit(paths.index(p)) for p in chosen])
+        merged.append(df.withColumn("list_pos", F.get(own, F.col("list_pos"))))
+    return merged[0].unionByName(merged[1])
 
 
 def with_ordinal(sequences: DataFrame) -> DataFrame:
