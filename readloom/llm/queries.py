@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import byte_bpe, decontaminate, separators, token_files, toxicity
+from readloom.llm import byte_bpe, decontaminate, pii, secrets, separators, token_files, toxicity
 from readloom.llm.text import table
 from readloom.session import Workspace
 
@@ -24,11 +24,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find(docs, Workspace(spark), ["doc_id"])).select("row.doc_id", "*").drop("row")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.round_trip(docs, keep=["doc_id"]).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, Workspace(spark), ["doc_id"])).select("row.doc_id", "*").drop("row")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -45,7 +55,10 @@ def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_orc, op3_decontamination, op5_byte_bpe, op7_toxicity, op8_separator_scan)
+    f.__name__: f
+    for f in (
+        op1_token_orc, op3_decontamination, op4_secrets, op5_byte_bpe, op6_personal_data, op7_toxicity, op8_separator_scan,
+    )
 }
 
 ORACLE: dict[str, str] = {}
