@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import byte_bpe, decontaminate, pii, secrets, separators, token_files, toxicity
+from readloom.llm import byte_bpe, decontaminate, jaccard, pii, secrets, separators, substrings, token_files, toxicity
 from readloom.llm.text import table
 from readloom.session import Workspace
 
@@ -18,6 +18,12 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.counts(spark, work.path("ids.orc"), work)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = substrings.remove(docs, Workspace(spark), keep=["doc_id"], digest=True)
+    return kept.select("row.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.report(decontaminate.hits(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
@@ -54,10 +60,16 @@ def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.count_tokens(blocks)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.classes(table(spark, sf_dir, "documents"), Workspace(spark))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_orc, op3_decontamination, op4_secrets, op5_byte_bpe, op6_personal_data, op7_toxicity, op8_separator_scan,
+        op1_token_orc, op2_substring_dedup, op3_decontamination, op4_secrets, op5_byte_bpe, op6_personal_data, op7_toxicity, op8_separator_scan,
+        op10_jaccard_join,
     )
 }
 
