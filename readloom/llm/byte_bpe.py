@@ -367,8 +367,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None
     return append(docs, kernel, "ids array<int>", keep=keep)
 
 
-def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None = None) -> DataFrame:
-    """``row``, n_tokens, ids_sha256, and decoded_sha256 of the text that the ids decode to."""
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """``row``, n_tokens, ids_sha256, decoded_sha256 of the text that the ids decode
+    to, and the ids (binary, little-endian unsigned 32-bit integers) if asked for."""
 
     def kernel(texts: Texts) -> list[pa.Array]:
         own, rows = codec(vocabulary), []
@@ -377,9 +378,10 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] |
             edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 back = own.decode(ids[a:b]).encode()
-                digest = hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest()
-                rows.append((b - a, digest, hashlib.sha256(back).hexdigest()))
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
+                data = ids[a:b].astype("<u4").tobytes()
+                rows.append((b - a, hashlib.sha256(data).hexdigest(), hashlib.sha256(back).hexdigest(), data if with_ids else None))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
+        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)][: 4 if with_ids else 3]
 
-    return append(docs, kernel, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep=keep)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return append(docs, kernel, schema, keep=keep)

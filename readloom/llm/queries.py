@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import byte_bpe, decontaminate, jaccard, pii, secrets, separators, substrings, token_files, toxicity
+from readloom.llm import byte_bpe, decontaminate, jaccard, pii, pivots, secrets, separators, substrings, token_files, toxicity
 from readloom.llm.text import table
 from readloom.session import Workspace
 
@@ -60,6 +60,10 @@ def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.count_tokens(blocks)
 
 
+def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, Workspace(spark))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.classes(table(spark, sf_dir, "documents"), Workspace(spark))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -69,8 +73,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_orc, op2_substring_dedup, op3_decontamination, op4_secrets, op5_byte_bpe, op6_personal_data, op7_toxicity, op8_separator_scan,
-        op10_jaccard_join,
+        op9_pivot_search, op10_jaccard_join,
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: SQL of the lower-cased words of decontamination, and of words between white space.
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PARTS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_FOLDED)
+
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_PARTS.format("coalesce(text, '')")} AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, range(1, len(w) - 33) r(i)),
+        rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+        hit AS (SELECT DISTINCT doc_id, p FROM win SEMI JOIN rep USING (s), range(i, i + 35) q(p)),
+        word AS (SELECT doc_id, p, w[p] AS x FROM d, range(1, len(w) + 1) q(p)),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op3_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM b, range(1, len(w) - n + 2) r(i)),
+        dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM bw), range(1, len(w) - n + 2) r(i)),
+        found AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, s)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, range(i, i + n) q(p) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM found) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items,
+               sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_pivot_search": """
+        WITH v AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+            WHERE len(embedding) = len([x FOR x IN embedding IF isfinite(x)])
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
+    "op10_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_PARTS.format(_FOLDED)} AS w FROM documents),
+        g AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM d, range(1, greatest(len(w) - 2, 2)) r(i) WHERE len(w) > 0
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        pairs AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+        ),
+        link AS (
+            SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)
+        ),
+        reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+        SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, least(doc_id, min(b)) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY doc_id""",
+}
