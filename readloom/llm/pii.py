@@ -7,7 +7,7 @@ before it that name other numbers, and an improbable run of digits. How often
 each pattern of votes occurs is counted over the whole table; expectation-
 maximisation on those counts (at most 3^5 for each of the kinds, whatever the
 size of the table) estimates how far each labeler can be trusted, without any
-label. The posteriors are soft labels that train the final classifier, a naive
+label. The posteriors of the candidates are soft labels that train the final classifier, a naive
 Bayes model of the votes, the kind, the shape and the word before the span,
 again from counts. Candidates that it scores at ``ADD`` or more, and that
 overlap no base span, are added.
@@ -45,6 +45,7 @@ DOMAINS = r"(?i)(\.|dot[)\]]\x20?)(com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$"
 LEFT = 40
 LABELERS = ("shape", "gazetteer", "naming", "other", "run")
 ROUNDS, SMOOTH, ADD = 40, 2.0, 0.5
+START, LOWEST = 0.8, 0.55  # a labeler's reliability at first, and at least
 
 
 def luhn(number: Column) -> Column:
@@ -105,24 +106,21 @@ def votes(spans: DataFrame) -> DataFrame:
 
 
 def estimate(counts: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
-    """Posterior of each pattern of votes by expectation-maximisation. Starts from
-    a majority vote; a labeler's votes are independent given the truth."""
-    posterior = {v: 1 / (1 + math.exp(-2.0 * sum(v))) for v in counts}
-    total = sum(counts.values())
+    """Posterior of each pattern of votes by expectation-maximisation.
+
+    A labeler that votes is right with a probability of its own, independent of
+    the others; not voting tells nothing. It is held to be right more often than
+    not, so the two classes cannot change places; without votes both are even.
+    """
+    sure, posterior = [START] * len(LABELERS), {}
     for _ in range(ROUNDS):
-        positive = sum(n * posterior[v] for v, n in counts.items())
-        prior = (positive + SMOOTH) / (total + 2 * SMOOTH)
-        tables = []
-        for k in range(len(LABELERS)):
-            # Smoothed towards a labeler that is right more often than not.
-            sums = {(truth, vote): SMOOTH * (2.0 if vote == truth else 0.5) for truth in (1, -1) for vote in (1, -1, 0)}
-            for v, n in counts.items():
-                sums[1, v[k]] += n * posterior[v]
-                sums[-1, v[k]] += n * (1 - posterior[v])
-            tables.append({(t, w): x / sum(sums[t, u] for u in (1, -1, 0)) for (t, w), x in sums.items()})
         for v in counts:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(tables[k][1, v[k]] / tables[k][-1, v[k]]) for k in range(len(v)))
+            odds = sum(x * math.log(a / (1 - a)) for x, a in zip(v, sure, strict=True))
             posterior[v] = 1 / (1 + math.exp(-max(min(odds, 30), -30)))
+        for k in range(len(LABELERS)):
+            voted = sum(n for v, n in counts.items() if v[k])
+            right = sum(n * (posterior[v] if v[k] > 0 else 1 - posterior[v]) for v, n in counts.items() if v[k])
+            sure[k] = min(max((right + SMOOTH * START) / (voted + SMOOTH), LOWEST), 1 - 1e-3)
     return posterior
 
 
@@ -139,26 +137,31 @@ def features() -> dict[str, Column]:
 
 
 def classified(found: DataFrame) -> DataFrame:
-    """row_no, kind, start, end, base and p of every span."""
+    """row_no, kind, start, end and p of every candidate beside the base spans."""
     spans = found.where(F.size("candidates") > 0).select("row_no", F.explode("candidates").alias("x")).select("row_no", "x.*")
     spans = votes(spans)
     counts = {tuple(r[:-1]): r[-1] for r in spans.groupBy(*LABELERS).count().collect()}  # at most 3^5 rows
     posterior = estimate(counts) if counts else {}
-    if not posterior:
+    if not posterior:  # no span of any kind
         return spans.select("row_no", "kind", "start", "end", F.lit(0.0).alias("p"))
     soft = F.create_map(*[F.lit(x) for v, p in posterior.items() for x in (",".join(map(str, v)), float(p))])
-    spans = spans.withColumns(features())
+    # Base spans stand anyway; the classifier judges the others, and learns from them.
+    spans = spans.where(~F.col("kind").isin(*BASE)).withColumns(features())
     spans = spans.withColumn("soft", F.element_at(soft, F.col("f_votes")))
     names = list(features())
     long = spans.select("soft", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("f"))
     learned = long.groupBy("f.name", "f.value").agg(F.sum("soft").alias("yes"), F.sum(1 - F.col("soft")).alias("no")).collect()
     yes = sum(r["yes"] for r in learned) / len(names)
     no = sum(r["no"] for r in learned) / len(names)
+    share = (yes + SMOOTH) / (yes + no + 2 * SMOOTH)
     weights = {}
-    for r in learned:  # values of few-valued features
-        weights[f"{r['name']}={r['value']}"] = math.log((r["yes"] + SMOOTH) / (yes + 2 * SMOOTH)) - math.log((r["no"] + SMOOTH) / (no + 2 * SMOOTH))
+    for r in learned:  # values of few-valued features; rare ones are drawn to the weight 0
+        odds = (r["yes"] + SMOOTH * share) / (r["no"] + SMOOTH * (1 - share))
+        weights[f"{r['name']}={r['value']}"] = math.log(odds) - math.log(share / (1 - share))
+    if not weights:
+        return spans.select("row_no", "kind", "start", "end", F.lit(0.0).alias("p"))
     table = F.create_map(*[F.lit(x) for key, w in weights.items() for x in (key, float(w))])
-    score = F.lit(math.log((yes + SMOOTH) / (no + SMOOTH)))
+    score = F.lit(math.log(share / (1 - share)))
     for n in names:
         score = score + F.coalesce(F.element_at(table, F.concat(F.lit(f"{n}="), F.col(n))), F.lit(0.0))
     return spans.select("row_no", "kind", "start", "end", (1 / (1 + F.exp(-score))).alias("p"))
@@ -168,7 +171,7 @@ def find(docs: DataFrame, work: Workspace, keep: list[str]) -> DataFrame:
     """``row``, the base spans by kind, and ``spans``, all spans by kind as listed, then start."""
     found = candidates(docs, keep).withColumn("row_no", F.monotonically_increasing_id())
     found = work.keep("pii_candidates", found)
-    scored = classified(found).where(~F.col("kind").isin(*BASE) & (F.col("p") >= ADD))
+    scored = classified(found).where(F.col("p") >= ADD)
     added = scored.groupBy("row_no").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     found = found.join(added, "row_no", "left")
     base = F.concat(*[named(k, k) for k in BASE])
