@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # The alphabet, its digit codes, and the complement.
 BASES, DIGITS, COMPLEMENT = "ACGT", "0123", "TGCA"
+# Texts as sequences: a letter of A-Z in either case is the base at its place
+# in the alphabet modulo 4; every other character is A.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+LETTER_BASES = "".join(BASES[i % 26 % 4] for i in range(52))
 GAP = "-"
 
 
@@ -16,8 +20,8 @@ def normalize(seq: Column) -> Column:
 
 
 def project_text(text: Column) -> Column:
-    """Keep only the letters A, C, G, T of a text column."""
-    return F.regexp_replace(F.upper(text), "[^ACGT]", "")
+    """One base for every character of a text column; none for a null text."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), LETTERS, LETTER_BASES), "[^ACGT]", "A")
 
 
 def encode(seq: Column) -> Column:

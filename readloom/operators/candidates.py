@@ -103,7 +103,7 @@ def first_per_query(rows: DataFrame, order: list[str]) -> DataFrame:
     return best.select("sid", "qid", "__first.*").select(*rows.columns)
 
 
-def contained_in_overlap(cands: DataFrame, overlaps: DataFrame) -> DataFrame:
+def outside_overlaps(cands: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Candidates whose anchor lies in no overlap of the same read pair and
     strand (set form). Overlaps per pair are few, so the key is the pair."""
     spans = overlaps.select(

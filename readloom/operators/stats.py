@@ -13,8 +13,8 @@ def min_length(df: DataFrame, cutoff: int) -> DataFrame:
 
 
 def read_counts(df: DataFrame, by: str = "file") -> DataFrame:
-    """Reads and bases per file, and a last row with a null file for all."""
-    return df.groupBy(by).agg(
+    """Reads and bases per file, and a row with a null file for all."""
+    return df.rollup(by).agg(
         F.count("*").alias("n_reads"), F.sum("len").cast("long").alias("n_bases")
     )
 
@@ -73,6 +73,7 @@ def length_stats(lengths: DataFrame, cutoff: int = 0) -> DataFrame:
 
 def length_report(stats: DataFrame) -> DataFrame:
     """The figures as text lines, in report order."""
+    # The text of the report format.
     labels = [
         ("Number of sequences:\t\t", "n"),
         ("Number of bps:\t\t\t", "total"),

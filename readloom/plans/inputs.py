@@ -1,12 +1,12 @@
 """Read sets and derived inputs made from the text tables.
 
-The letters A, C, G, T of each text are its sequence. Texts share passages and
-near copies, so their sequences overlap as reads do.
+Every character of a text gives one base, and every text is a read. Texts share
+passages and near copies, so their sequences overlap as reads do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import project_text
@@ -18,8 +18,9 @@ from readloom.options import MapOptions
 from readloom.plans.jobs import build_reads, seeds
 from readloom.session import Workspace
 
-MIN_READ = 500
-OPTS = MapOptions()
+# Longer k-mers than the default, and fewer of a kind, as whole texts are used.
+OPTS = MapOptions(kmer_size=15, max_kmer_count=50)
+VOTERS = 25  # reads that vote on one target
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -28,24 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def projected(spark: SparkSession, sf_dir: str, name: str, key: str, column: str, min_len: int) -> DataFrame:
-    texts = table(spark, sf_dir, name).select(key, project_text(F.col(column)).alias("seq"))
-    return texts.where(F.length("seq") >= min_len)
+def projected(spark: SparkSession, sf_dir: str, name: str, key: str, column: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(key, project_text(F.col(column)).alias("seq"))
 
 
 def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of the documents table, not stored."""
-    return build_reads(projected(spark, sf_dir, "documents", "doc_id", "text", MIN_READ), "doc_id")
+    return build_reads(projected(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
 
 
 def targets_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target sequences of the benchmark table, not stored."""
-    return build_reads(projected(spark, sf_dir, "benchmark", "item_id", "text", 1), "item_id")
+    return build_reads(projected(spark, sf_dir, "benchmark", "item_id", "text"), "item_id")
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longer target sequences of the pages table, not stored."""
-    return build_reads(projected(spark, sf_dir, "pages", "page_id", "html", 1), "page_id")
+    return build_reads(projected(spark, sf_dir, "pages", "page_id", "html"), "page_id")
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
@@ -100,6 +100,12 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def best_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best one of each pair of reads and strand."""
+    order = Window.partitionBy("qid", "qdir", "sid").orderBy(F.desc("vscore"), "qext", "sext", "qoff", "soff")
+    return overlaps(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covered target spans of candidates under both reads."""
     both = mirror(candidates(spark, sf_dir))
@@ -140,7 +146,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     read by two patterns that never meet. Several reads vote on one target."""
     source = reads(spark, sf_dir)
     return source.select(
-        (F.col("read_id") % 8).alias("sid"),
+        F.expr(f"read_id div {VOTERS}").alias("sid"),
         F.col("read_id").alias("aln_id"),
         F.lit(0).alias("beg"),
         F.regexp_replace("seq", "AGA", "A-A").alias("qaln"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.functions.sequence import normalize, target_window
-from readloom.operators.alignment import align_pairs, attach_sequences
+from readloom.functions.sequence import normalize, on_strand, target_window
+from readloom.operators.alignment import align_pairs, attach_sequences, with_windows
 from readloom.operators.candidates import mirror, top_candidates, with_partition
 from readloom.operators.chaining import chain_blocks
 from readloom.operators.consensus import consensus
@@ -20,7 +20,7 @@ from readloom.operators.stats import length_report, length_stats, split_long
 from readloom.options import FAST, SENSITIVE, ConsensusOptions, MapOptions, PartitionOptions
 from readloom.schemas import CANDIDATES
 from readloom.session import Workspace
-from readloom.sources.sequences import read_sequences
+from readloom.sources.sequences import list_paths, read_sequences, with_ordinal
 
 
 def build_reads(sequences: DataFrame, key: str = "ordinal") -> DataFrame:
@@ -30,15 +30,26 @@ def build_reads(sequences: DataFrame, key: str = "ordinal") -> DataFrame:
     return with_offsets(numbered)
 
 
+def build_reads_from(spark: SparkSession, paths: str | list[str], is_list: bool = False) -> DataFrame:
+    """The read set of files or folders, or of the files that a list file names."""
+    paths = list_paths(spark, paths) if is_list else paths
+    return build_reads(with_ordinal(read_sequences(spark, paths)))
+
+
 def placed_targets(reads: DataFrame, volume_size: int) -> DataFrame:
     """Reads with their volume and where they start in it, ``sref``. Both
     follow from the read's own offset, so nothing is joined or shuffled."""
     return assign_volumes(reads, volume_size).withColumn("sref", F.col("offset") - F.col("volume_id") * volume_size)
 
 
+def undivided(targets: DataFrame) -> DataFrame:
+    """Separate targets are one set whatever its size: cutoff and ranks are over all of it."""
+    return targets.withColumns({"volume_id": F.lit(0).cast("long"), "sref": F.col("offset")})
+
+
 def seeds(reads: DataFrame, opts: MapOptions, targets: DataFrame | None = None) -> DataFrame:
     """Seeds of all reads against each other, or against separate targets."""
-    against = placed_targets(reads if targets is None else targets, opts.volume_size)
+    against = placed_targets(reads, opts.volume_size) if targets is None else undivided(targets)
     queries = query_kmers(reads, opts.kmer_size, opts.stride)
     return find_seeds(queries, target_kmers(against, opts.kmer_size), opts.max_kmer_count, pairwise=targets is None)
 
@@ -61,16 +72,15 @@ def find_overlaps(reads: DataFrame, opts: MapOptions = MapOptions()) -> DataFram
 def map_to_reference(reads: DataFrame, targets: DataFrame, opts: MapOptions = MapOptions()) -> DataFrame:
     """Aligned overlaps of reads with target sequences.
 
-    Only the target stretch that the query can reach from the anchor is
-    aligned, so long targets do not travel with every candidate's alignment.
+    Only the target stretch that the query can reach from the anchor travels
+    with a candidate, cut out of tiles of the target.
     """
     found = chain_blocks(seeds(reads, opts, targets), opts)
     best = top_candidates(found, ["qid", "volume_id"], opts.num_candidates)
-    window = target_window()
-    pairs = attach_sequences(best, reads, targets).select(
-        *best.columns, *[col.alias(name) for name, col in window.items()], "qseq", "tseq"
-    )
-    cut = pairs.withColumn("tseq", F.col("tseq").substr(F.col("sfrom") + 1, F.col("sto") - F.col("sfrom")))
+    placed = best.select("*", *[col.alias(name) for name, col in target_window().items()])
+    query = reads.select(F.col("read_id").alias("qid"), F.col("seq").alias("__q"))
+    cut = with_windows(placed, targets).join(query, "qid")
+    cut = cut.withColumn("qseq", on_strand(F.col("__q"), F.col("qdir"))).drop("__q")
     local = cut.withColumn("anchor", F.col("soff")).withColumn("soff", F.col("srel"))
     aligned = align_pairs(local, opts.error, opts.min_align_size)
     placed = aligned.select(
@@ -115,9 +125,10 @@ def correct(
     sensitive: MapOptions = SENSITIVE,
     fast: MapOptions = FAST,
     cns_opts: ConsensusOptions = ConsensusOptions(),
+    later_cns_opts: ConsensusOptions | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Repeated correction. The first round searches sensitively, later ones
-    fast; all but the last keep reads whole. The next round's reads are the
+    fast, and may have consensus options of their own; all but the last keep reads whole. The next round's reads are the
     corrected ones followed by the raw ones, numbered anew."""
     for round_ in range(1, n_iter + 1):
         here = Workspace(work.spark, work.path(f"round-{round_}"))
@@ -126,7 +137,7 @@ def correct(
             stored,
             here,
             sensitive if round_ == 1 else fast,
-            replace(cns_opts, full_consensus=round_ < n_iter),
+            replace(cns_opts if round_ == 1 else later_cns_opts or cns_opts, full_consensus=round_ < n_iter),
         )
         if round_ < n_iter:
             reads = merge_reads(corrected, raw, order=("id", "left"))
@@ -139,6 +150,7 @@ def report_lengths(lengths: DataFrame, cutoff: int = 0) -> DataFrame:
 
 __all__ = [
     "build_reads",
+    "build_reads_from",
     "correct",
     "correct_once",
     "find_candidates",

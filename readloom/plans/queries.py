@@ -27,7 +27,8 @@ from readloom.streaming.mapping import stream_seeds
 
 Run = Callable[[SparkSession, str], DataFrame]
 
-K, Z, Q, BLOCK, SCORE, DDF = 13, 10, 1000, 2000, 3, 0.25
+K, Z, Q, BLOCK, SCORE, DDF = inp.OPTS.kmer_size, inp.OPTS.stride, inp.OPTS.max_kmer_count, 2000, 3, 0.25
+_BASES = f"regexp_replace(translate(coalesce({{}}, ''), '{seq.LETTERS}', '{seq.LETTER_BASES}'), '[^ACGT]', 'A', 'g')"
 
 
 @dataclass(frozen=True)
@@ -78,11 +79,10 @@ def _ddf(q1: str, s1: str, q2: str, s2: str) -> str:
     )
 
 
-def _project(table: str, key: str, text: str, least: int) -> str:
+def _project(table: str, key: str, text: str) -> str:
     return (
         f"SELECT row_number() OVER (ORDER BY {key}) - 1 AS read_id, seq, length(seq) AS len"
-        f" FROM (SELECT {key}, regexp_replace(upper({text}), '[^ACGT]', '', 'g') AS seq FROM {table})"
-        f" WHERE length(seq) >= {least}"
+        f" FROM (SELECT {key}, {_BASES.format(text)} AS seq FROM {table})"
     )
 
 
@@ -101,9 +101,9 @@ _CLASS = (
 _TAG = "t_pos, delta, q_base, p_t_pos, p_delta, p_q_base"
 
 CTES = {
-    "reads": _project("documents", "doc_id", "text", 500),
+    "reads": _project("documents", "doc_id", "text"),
     "placed": "SELECT *, sum(len) OVER (ORDER BY read_id) - len AS goff0 FROM reads",
-    "refs": _project("benchmark", "item_id", "text", 1),
+    "refs": _project("benchmark", "item_id", "text"),
     "placed_refs": "SELECT *, sum(len) OVER (ORDER BY read_id) - len AS goff0 FROM refs",
     "all_kmers": f"SELECT read_id, goff0, len, pos, substr(seq, pos + 1, {K}) AS kmer FROM"
     f" (SELECT *, unnest(range(0, len - {K} + 1)) AS pos FROM placed)",
@@ -147,7 +147,7 @@ CTES = {
     "mirrored": f"SELECT {_CAND} FROM cands UNION ALL SELECT {_CAND} FROM flipped",
     "ovl": "SELECT qid, sid, 100.0 * score::DOUBLE / (qend - qbeg) AS ident_perc, score AS vscore, qdir, qbeg AS qoff, qend,"
     " qoff AS qext, qsize, sdir, sbeg AS soff, send, soff AS sext, ssize FROM cands",
-    "aln": "SELECT read_id % 8 AS sid, read_id AS aln_id, regexp_replace(seq, 'AGA', 'A-A', 'g') AS qaln,"
+    "aln": f"SELECT read_id // {inp.VOTERS} AS sid, read_id AS aln_id, regexp_replace(seq, 'AGA', 'A-A', 'g') AS qaln,"
     " regexp_replace(seq, 'TGT', 'T-T', 'g') AS taln FROM reads",
     "aln_cols": "SELECT sid, aln_id, pos, q, t FROM (SELECT sid, aln_id, unnest(range(1, length(qaln) + 1)) AS pos,"
     " unnest(string_split(qaln, '')) AS q, unnest(string_split(taln, '')) AS t FROM aln)",
@@ -244,6 +244,40 @@ def _fastq(spark: SparkSession, d: str) -> DataFrame:
     return sequences.read_sequences(spark, folder)
 
 
+def _halves(spark: SparkSession, d: str, folder: str) -> None:
+    """A folder of an empty file, and the reads of even id as FASTA, the others as compressed FASTQ, each one file."""
+    rows = inp.reads(spark, d)
+    fasta = rows.where("read_id % 2 = 0").select("read_id", F.concat(F.lit(">r"), "read_id", F.lit("\n"), "seq").alias("value"))
+    parts = [F.concat(F.lit("@r"), F.col("read_id")), F.col("seq"), F.lit("+"), F.expr("repeat('I', len)")]
+    fastq = rows.where("read_id % 2 = 1").select("read_id", F.concat_ws("\n", *parts).alias("value"))
+    for df, kind in ((fasta, "fa"), (fastq, "fq")):
+        df.orderBy("read_id").select("value").coalesce(1).write.text(f"{folder}/{kind}", compression="gzip" if kind == "fq" else None)
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{folder}/none")
+
+
+def _listed(spark: SparkSession, d: str, read: Callable) -> DataFrame:
+    """Through a list file that names the files of both formats and an empty folder."""
+    folder = Workspace(spark).path("files")
+    _halves(spark, d, folder)
+    names = spark.createDataFrame([(f"{folder}/{k}",) for k in ("fa", "none", "fq")], "value string")
+    names.coalesce(1).write.text(f"{folder}/list")
+    return read(spark, sequences.list_paths(spark, f"{folder}/list"))
+
+
+def _formats(spark: SparkSession, d: str) -> DataFrame:
+    """The format of each file of one folder, told file by file."""
+    folder = Workspace(spark).path("mixed")
+    first = inp.reads(spark, d).orderBy("read_id").limit(1)
+    parts = {
+        "reads.fa": F.concat(F.lit(">r\n"), "seq"), "reads.fq": F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', len)")),
+    }
+    for name, value in parts.items():
+        first.select(value.alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{folder}/empty.fa")
+    found = [(path.rsplit("/", 2)[-2], kind) for path, kind in sequences.formats(spark, [f"{folder}/{n}" for n in (*parts, "empty.fa")])]
+    return spark.createDataFrame(found, "file string, kind string")
+
+
 def _candidate_files(format: str) -> Run:
     def run(spark: SparkSession, d: str) -> DataFrame:
         path = Workspace(spark).path("candidates")
@@ -394,9 +428,19 @@ QUERIES = [
     Query("s5_volumes", "volume_id read_start_id read_count n_bases", _volumes,
           "SELECT goff0::BIGINT // 50000 AS volume_id, min(read_id) AS read_start_id, count(*) AS read_count,"
           " sum(len) AS n_bases FROM placed GROUP BY 1"),
+    Query("s2_file_list", "name:s seq:s", lambda s, d: _listed(s, d, sequences.read_sequences),
+          "SELECT 'r' || read_id AS name, seq FROM reads"),
+    Query("s3_formats", "file:s kind:s", _formats,
+          "SELECT * FROM (VALUES ('empty.fa', 'empty'), ('reads.fa', 'fasta'), ('reads.fq', 'fastq')) v(file, kind)"
+          " WHERE EXISTS (SELECT 1 FROM reads)"),
+    Query("p1_build_reads", "read_id len global_off digest:s", lambda s, d: _listed(
+              s, d, lambda spark, paths: jobs.build_reads_from(spark, paths)
+              .withColumns({"global_off": F.col("offset"), "digest": F.md5("seq")})),
+          "SELECT row_number() OVER (ORDER BY read_id % 2, read_id) - 1 AS read_id, len, sum(len) OVER (ORDER BY read_id % 2, read_id)"
+          " - len AS global_off, md5(seq) AS digest FROM reads"),
     Query("s6_read_counts", "source:s n_reads n_bases",
           lambda s, d: stats.read_counts(inp.table(s, d, "documents").withColumnRenamed("n_chars", "len"), "source"),
-          "SELECT source, count(*) AS n_reads, sum(n_chars) AS n_bases FROM documents GROUP BY source"),
+          "SELECT source, count(*) AS n_reads, sum(n_chars) AS n_bases FROM documents GROUP BY ROLLUP (source)"),
     Query("s7_merge_read_sets", "read_id len global_off",
           lambda s, d: ids.merge_reads(inp.reads(s, d), inp.targets(s, d)).withColumnRenamed("offset", "global_off"),
           "SELECT read_id, len, sum(len) OVER (ORDER BY read_id) - len AS global_off FROM (SELECT read_id, len FROM reads"
@@ -423,7 +467,7 @@ QUERIES = [
     Query("f2_decode", "doc_id seq:s",
           lambda s, d: inp.table(s, d, "documents").select(
               "doc_id", seq.decode(seq.encode(seq.project_text(F.col("text")))).alias("seq")),
-          "SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents"),
+          f"SELECT doc_id, {_BASES.format('text')} AS seq FROM documents"),
     Query("f3_reverse_complement", "read_id rc:s",
           lambda s, d: inp.reads(s, d).select("read_id", seq.revcomp(F.col("seq")).alias("rc")),
           "SELECT read_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads"),
@@ -492,12 +536,12 @@ QUERIES = [
           "SELECT qid, c.qdir, sid, qoff, soff, md5(q.seq) AS qseq, md5(t.seq) AS tseq FROM cands c"
           " JOIN strands q ON q.read_id = qid AND q.qdir = c.qdir JOIN reads t ON t.read_id = sid"),
     Query("j4_anchors_outside_overlaps", _CAND_COLS,
-          lambda s, d: cand.contained_in_overlap(
-              inp.candidates(s, d).withColumns({"qoff": F.col("qbeg"), "soff": F.col("sbeg")}),
-              inp.overlaps(s, d).where((F.col("send") - F.col("soff")) < F.col("ssize") * 0.5)),
+          lambda s, d: cand.outside_overlaps(
+              inp.candidates(s, d).withColumns({"qoff": F.col("qbeg"), "soff": F.col("sbeg")}), inp.best_overlaps(s, d)),
           "SELECT qid, sid, score, qdir, qbeg, qend, qbeg AS qoff, qsize, sdir, sbeg, send, sbeg AS soff, ssize FROM cands c"
-          " WHERE NOT EXISTS (SELECT 1 FROM ovl o WHERE o.qid = c.qid AND o.qdir = c.qdir AND o.sid = c.sid"
-          " AND c.qbeg BETWEEN o.qoff AND o.qend AND c.sbeg BETWEEN o.soff AND o.send AND o.send - o.soff < o.ssize * 0.5)"),
+          " WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY qid, qdir, sid ORDER BY vscore DESC, qext,"
+          " sext, qoff, soff) AS k FROM ovl) o WHERE k = 1 AND o.qid = c.qid AND o.qdir = c.qdir AND o.sid = c.sid"
+          " AND c.qbeg BETWEEN o.qoff AND o.qend AND c.sbeg BETWEEN o.soff AND o.send)"),
     Query("j5_uncorrected_reads", 'id org_size seq:s', lambda s, d: cns.uncorrected(inp.reads(s, d), inp.pieces(s, d).select("id")),
           "SELECT read_id AS id, len AS org_size, seq FROM reads WHERE read_id NOT IN (SELECT sid FROM island_rows)"),
     Query("j6_first_per_query", _CAND_COLS,
@@ -555,9 +599,9 @@ QUERIES = [
           "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS read_id, sum(n_chars) OVER (ORDER BY doc_id) - n_chars"
           " AS global_off FROM documents"),
     Query("w3_query_ranks", "qid rank sid qdir score qoff soff",
-          lambda s, d: cand.top_candidates(inp.candidates(s, d), ["qid"], 200, rank="rank"),
-          "SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sid, qdir, qoff, soff, qbeg, sbeg)"
-          " AS rank, sid, qdir, score, qoff, soff FROM cands) WHERE rank <= 200"),
+          lambda s, d: cand.rank_batches(inp.candidates(s, d), "qid", 200),
+          "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sid, qdir, qoff, soff, qbeg, sbeg)"
+          " AS rank, sid, qdir, score, qoff, soff FROM cands"),
     Query("w4_target_batches", "sid rank batch qid score", _batched,
           "SELECT sid, rn AS rank, (rn - 1) // 50 AS batch, qid, score FROM ranked"),
     Query("w5_w6_g8_alignment_tags", "sid aln_id t_pos delta q_base:s p_t_pos p_delta p_q_base:s",

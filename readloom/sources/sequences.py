@@ -11,12 +11,29 @@ from readloom.functions.sequence import fasta_header
 
 # The first character of a file gives its format.
 FIRST_CHARACTER = {">": "fasta", "@": "fastq"}
+# File URIs come with one or three slashes after the scheme.
+ONE_SLASH = ("^file:/+", "file:/")
+
+
+def formats(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(file, format) of every file of the given files and folders, from each
+    file's first line that is not empty: fasta, fastq, empty or unknown. One job;
+    the list has a row for each file."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"), F.substring("value", 1, 1).alias("mark"),
+    )
+    first = lines.where(F.length("mark") > 0).groupBy("file").agg(F.min_by("mark", F.struct("split", "row")).alias("mark"))
+    seen = {r["file"]: FIRST_CHARACTER.get(r["mark"], "unknown") for r in first.collect()}
+    every = {re.sub(*ONE_SLASH, file) for file in spark.read.text(paths).inputFiles()}
+    seen = {re.sub(*ONE_SLASH, file): kind for file, kind in seen.items()}
+    return sorted((file, seen.get(file, "empty")) for file in every | seen.keys())
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """Format of a file or folder: fasta, fastq, empty or unknown."""
-    line = spark.read.text(path).where(F.length("value") > 0).limit(1).first()
-    return "empty" if line is None else FIRST_CHARACTER.get(line[0][0], "unknown")
+    """Format of a file, or of a folder whose files have one format: fasta, fastq, empty or unknown."""
+    kinds = {kind for _, kind in formats(spark, [path])} - {"empty"}
+    return kinds.pop() if len(kinds) == 1 else "unknown" if kinds else "empty"
 
 
 def list_paths(spark: SparkSession, list_path: str) -> list[str]:
@@ -25,10 +42,6 @@ def list_paths(spark: SparkSession, list_path: str) -> list[str]:
     return [row[0].strip() for row in spark.read.text(list_path).collect() if row[0].strip()]
 
 
-# File URIs come with one or three slashes after the scheme.
-ONE_SLASH = ("^file:/+", "file:/")
-
-
 def _places(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Place in the list of each given file or folder, by its full name. One
     row per name that the caller passed."""
@@ -41,9 +54,12 @@ def _places(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([(full(p), i) for i, p in enumerate(paths)], "given string, list_pos int")
 
 
-def _records(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
-    """Pieces between separators, with ``list_pos``, ``file`` and their place
-    ``line`` in the file (0-based).
+def _records(
+    spark: SparkSession, paths: list[str], separator: str, files: list[str] | None = None
+) -> DataFrame:
+    """Pieces between separators, with ``list_pos``, ``file``, their place
+    ``line`` in the file (0-based) and the number of ``lines`` of the file.
+    ``paths`` are those given; ``files`` are the ones among them to read.
 
     A task reads a file split from front to back, so a running row id orders
     the pieces of a split; the pieces of earlier splits of the file are counted
@@ -51,7 +67,7 @@ def _records(spark: SparkSession, paths: list[str], separator: str) -> DataFrame
     """
     rows = (
         spark.read.option("lineSep", separator)
-        .text(paths)
+        .text(paths if files is None else files)
         .select(
             F.regexp_replace("_metadata.file_path", *ONE_SLASH).alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
@@ -74,11 +90,12 @@ def _records(spark: SparkSession, paths: list[str], separator: str) -> DataFrame
         Window.partitionBy("list_pos", "file").orderBy("split").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     splits = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("row").alias("first")).select(
-        *key, "first", (F.sum("n").over(before) - F.col("n")).alias("start")
+        *key, "first", (F.sum("n").over(before) - F.col("n")).alias("start"),
+        F.sum("n").over(Window.partitionBy("list_pos", "file")).alias("lines"),
     )
     placed = rows.join(splits, key)
     return placed.select(
-        "list_pos", "file", (F.col("start") + F.col("row") - F.col("first")).alias("line"), "value"
+        "list_pos", "file", (F.col("start") + F.col("row") - F.col("first")).alias("line"), "lines", "value"
     )
 
 
@@ -88,9 +105,9 @@ def _header(text: Column) -> list[Column]:
     return [parts[0].alias("name"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("comment")]
 
 
-def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_fasta(spark: SparkSession, paths: list[str], files: list[str] | None = None) -> DataFrame:
     """A record reaches from one header mark at a line start to the next."""
-    records = _records(spark, paths, "\n>")
+    records = _records(spark, paths, "\n>", files)
     body = F.regexp_replace("value", "^>", "")
     lines = F.split(F.regexp_replace(body, "\r", ""), "\n", 2)
     return records.where(F.length("value") > 0).select(
@@ -101,11 +118,11 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of four lines. A file's last record counts only if its quality
-    line is as long as its sequence."""
-    lines = _records(spark, paths, "\n").select(
-        "list_pos", "file", F.expr("line div 4").alias("record"), (F.col("line") % 4).alias("part"),
+def read_fastq(spark: SparkSession, paths: list[str], files: list[str] | None = None) -> DataFrame:
+    """Records of four lines. A last record that is cut short is left out; any
+    other record that is not of this form is an error that names it, so none is lost."""
+    lines = _records(spark, paths, "\n", files).select(
+        "list_pos", "file", F.expr("line div 4").alias("record"), (F.col("line") % 4).alias("part"), "lines",
         F.regexp_replace("value", "\r$", "").alias("value"),
     )
 
@@ -113,10 +130,18 @@ def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
         return F.max(F.when(F.col("part") == i, F.col("value")))
 
     records = lines.groupBy("list_pos", "file", "record").agg(
-        part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual")
+        part(0).alias("head"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual"), F.max("lines").alias("lines")
     )
-    whole = F.length("seq") == F.length(F.coalesce("qual", F.lit("")))
-    return records.where(F.col("head").startswith("@") & whole).select(
+    qual = F.coalesce("qual", F.lit(""))
+    whole = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length(qual))
+    blank = F.concat_ws("", "head", "seq", "plus", "qual") == ""
+    # Lines after the last record may be empty; the last record may be cut.
+    last = (F.col("record") + 1) * 4 >= F.col("lines")
+    cut = last & F.col("head").startswith("@") & (F.length(qual) < F.length(F.coalesce("seq", F.lit("")))) & F.coalesce(F.col("plus").startswith("+"), F.lit(True))
+    message = F.concat(F.lit("not a FASTQ record of four lines: record "), F.col("record").cast("string"), F.lit(" of "), F.col("file"))
+    kept = F.when(F.coalesce(whole, F.lit(False)), True).when(F.coalesce(cut, F.lit(False)) | blank, False)
+    records = records.withColumn("kept", kept.otherwise(F.raise_error(message).cast("boolean")))
+    return records.where("kept").select(
         "list_pos", "file", "record", *_header(F.substring("head", 2, 1 << 30)), "seq", "qual"
     )
 
@@ -125,31 +150,24 @@ def read_sequences(spark: SparkSession, paths: str | list[str], format: str = "a
     """Sequences of files or folders, in list order.
 
     Columns list_pos, file, record (place in the file), name, comment, seq,
-    qual. An empty file gives no rows. All files of a format are one scan;
-    ``auto`` looks at each given path first, so name the format for long lists.
+    qual. An empty file gives no rows. ``auto`` looks at every file first, so
+    folders may hold both formats. All files of a format are one scan.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if len(set(paths)) < len(paths):
         raise ValueError("a path is given twice")
-    if format == "auto":
-        kinds = {path: sniff(spark, path) for path in paths}
-        unknown = [path for path, kind in kinds.items() if kind == "unknown"]
-        if unknown:
-            raise ValueError(f"neither FASTA nor FASTQ: {unknown}")
-        fasta = [p for p in paths if kinds[p] in ("fasta", "empty")]
-        fastq = [p for p in paths if kinds[p] == "fastq"]
-    else:
-        fasta, fastq = (paths, []) if format == "fasta" else ([], paths)
-
-    found = [read(spark, chosen) for read, chosen in ((read_fasta, fasta), (read_fastq, fastq)) if chosen]
-    if len(found) == 1:
-        return found[0]
-    # Two scans number their own lists; put both back into the common order.
-    merged = []
-    for df, chosen in zip(found, (fasta, fastq)):
-        own = F.array(*[F.lit(paths.index(p)) for p in chosen])
-        merged.append(df.withColumn("list_pos", F.get(own, F.col("list_pos"))))
-    return merged[0].unionByName(merged[1])
+    if format != "auto":
+        return (read_fasta if format == "fasta" else read_fastq)(spark, paths)
+    kinds = formats(spark, paths)
+    unknown = [file for file, kind in kinds if kind == "unknown"]
+    if unknown:
+        raise ValueError(f"neither FASTA nor FASTQ: {unknown}")
+    fasta = [file for file, kind in kinds if kind == "fasta"]
+    fastq = [file for file, kind in kinds if kind == "fastq"]
+    found = [read(spark, paths, files) for read, files in ((read_fasta, fasta), (read_fastq, fastq)) if files]
+    if not found:
+        return read_fasta(spark, paths)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def with_ordinal(sequences: DataFrame) -> DataFrame:

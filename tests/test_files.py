@@ -131,3 +131,33 @@ def test_streamed_mapping_equals_the_job(spark, work):
     got = spark.read.parquet(work.path("out")).drop("batch")
     want = jobs.map_to_reference(reads, targets)
     assert got.count() > 0 and rows(got) == rows(want)
+
+
+def test_one_folder_of_both_formats(spark, tmp_path):
+    write(tmp_path / "a.fa", ">a0\nAC\n>a1\nGG\n")
+    write(tmp_path / "b.fq", "@b0\nTT\n+\nII\n")
+    write(tmp_path / "empty.fa", "")
+    got = sequences.with_ordinal(sequences.read_sequences(spark, str(tmp_path)))
+    assert [r.name for r in got.orderBy("ordinal").collect()] == ["a0", "a1", "b0"]
+    assert [k for _, k in sequences.formats(spark, [str(tmp_path)])] == ["fasta", "fastq", "empty"]
+
+
+def test_records_of_other_forms_are_errors(spark, tmp_path):
+    good = "@r0\nAC\n+\nII\n"
+    for bad in ("@r1\nAC\nGT\n+\nII\nII\n", "r1\nAC\n+\nII\n", "@r1\nAC\n+\nIII\n", "@r1\nAC\n-\nII\n"):
+        path = write(tmp_path / f"{abs(hash(bad))}.fq", good + bad + good)
+        with pytest.raises(Exception, match="not a FASTQ record"):
+            sequences.read_sequences(spark, path).count()
+    ends = write(tmp_path / "ends.fq", good + "\n\n")
+    assert sequences.read_sequences(spark, ends).count() == 1
+
+
+def test_windows_of_tiles(spark):
+    from readloom.operators.alignment import with_windows
+
+    seq = "".join("ACGT"[i * i % 7 % 4] for i in range(97))
+    targets = spark.createDataFrame([(0, seq), (1, "ACG")], "read_id long, seq string")
+    spans = [(k, k % 2, a, b) for k, (a, b) in enumerate([(0, 97), (0, 3), (10, 11), (0, 1), (9, 21), (1, 2), (90, 97)])]
+    cands = spark.createDataFrame(spans, "qid long, sid long, sfrom int, sto int")
+    got = {r["qid"]: r["tseq"] for r in with_windows(cands, targets, tile=10).collect()}
+    assert got == {k: (seq, "ACG")[s][a:b] for k, s, a, b in spans}

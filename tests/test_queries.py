@@ -31,7 +31,7 @@ def test_query(spark, db, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 459
+    assert entry.entry(spark).count() == 880
 
 
 def test_texts_name_only_known_queries():
