@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.text import ByteClass, Texts, small_batches
+from readloom.session import Workspace
 
 ROWS = "bucket int, block long, keys binary, slots binary, extra binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("slots", pa.binary()), ("extra", pa.binary())])
@@ -31,10 +32,11 @@ BUCKET_WINDOWS = 1 << 20
 BITS = 48  # of a key; chance matches only make candidates that the next step drops
 
 
-def buckets(docs: DataFrame, text: str = "text") -> int:
-    """So many that a bucket gets about ``BUCKET_WINDOWS`` windows, and at least four for each partition."""
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    return int(max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (6 * BUCKET_WINDOWS) + 1))
+def extent(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """About how many windows there are, and how many buckets: so many that one
+    gets about ``BUCKET_WINDOWS`` windows, and at least four for each partition."""
+    windows = (docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0) // 6 + 1
+    return windows, int(max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), windows // BUCKET_WINDOWS + 1))
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -48,35 +50,30 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
         return {k: arrays[k] for k in arrays.files}
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys: differences of 32 bits where they fit, else the keys."""
-    steps = np.diff(keys)
-    if len(keys) > 16 and int(steps.max()) < 1 << 32:
-        return keys[:1].tobytes() + steps.astype("<u4").tobytes()
-    return b"\0" + keys.astype("<u8").tobytes()
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs."""
+    width = (int(numbers.max(initial=1)).bit_length() + 7) // 8
+    return bytes([width]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    if len(data) % 8 == 1:
-        return np.frombuffer(data, "<u8", offset=1)
-    if len(data) % 4 == 1:
-        raise ValueError("damaged keys")
-    return np.concatenate([[np.uint64(0)], np.cumsum(np.frombuffer(data, "<u4", offset=8), dtype=np.uint64)]) + np.frombuffer(data, "<u8", 1)
+def unpack_numbers(data: bytes) -> np.ndarray:
+    width = memoryview(data)[0]
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
 
 
-def pack_slots(slots: np.ndarray) -> bytes:
-    """Numbers of 24 bits where they fit, else of 32."""
-    if len(slots) and int(slots.max()) < 1 << 24:
-        return b"\3" + slots.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    return b"\4" + slots.astype("<u4").tobytes()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return pack_numbers(np.diff(keys, prepend=np.uint64(0))[1:]) + keys[:1].astype("<u8").tobytes()
 
 
-def unpack_slots(data: bytes) -> np.ndarray:
-    if data[:1] == b"\4":
-        return np.frombuffer(data, "<u4", offset=1)
-    out = np.zeros(((len(data) - 1) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, 3)
-    return out.view("<u4").reshape(-1)
+def unpack_keys(data: bytes) -> np.ndarray:
+    if len(data) < 8:
+        return np.zeros(0, np.uint64)
+    view = memoryview(data)
+    steps = np.concatenate([np.frombuffer(view[-8:], "<u8"), unpack_numbers(view[:-8])])
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def rows(bucket: list, block: list, keys: list, slots: list, extra: list) -> pa.Table:
@@ -93,7 +90,7 @@ def dealt(n: int, block: int, keys: np.ndarray, slots: np.ndarray, extra: bytes,
     parts = [(i, int(cuts[i]), int(cuts[i + 1])) for i in full]
     return rows(
         [i for i, _, _ in parts] + [block % n], [block] * (len(parts) + 1),
-        [pack_keys(keys[a:b]) for _, a, b in parts] + [None], [pack_slots(slots[a:b]) for _, a, b in parts] + [None],
+        [pack_keys(keys[a:b]) for _, a, b in parts] + [None], [pack_numbers(slots[a:b]) for _, a, b in parts] + [None],
         [None] * len(parts) + [extra],
     )
 
@@ -108,7 +105,7 @@ class Bucket:
         keys = [unpack_keys(x.as_buffer()) for x in group.column("keys")]
         self.sizes = [len(x) for x in keys]
         self.keys = np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.uint64)
-        self.slots = np.concatenate([np.zeros(0, np.uint32), *[unpack_slots(x.as_buffer()) for x in group.column("slots")]])
+        self.slots = np.concatenate([np.zeros(0, np.uint64), *[unpack_numbers(x.as_buffer()) for x in group.column("slots")]])
         self.order = np.argsort(self.keys)
         ordered = self.keys[self.order]
         fresh = np.ones(len(ordered), bool)
@@ -123,20 +120,20 @@ class Bucket:
             chosen = np.flatnonzero(keep[at : at + size]) + at
             at += size
             if len(chosen):
-                for column, value in zip(out, (bucket, block, values[chosen].astype("<u8").tobytes(), pack_slots(self.slots[chosen]), None), strict=True):
+                for column, value in zip(out, (bucket, block, pack_numbers(values[chosen]), pack_numbers(self.slots[chosen]), None), strict=True):
                     column.append(value)
         return pa.concat_tables([rows(*out), self.passing.cast(SCHEMA)])
 
 
 def answered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[dict]]:
     """What a block got: slots, their values, and the contents of its own rows."""
-    values, slots, extra = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], []
+    values, slots, extra = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
     for k, s, e in zip(group.column("keys"), group.column("slots"), group.column("extra"), strict=True):
         if e.is_valid:
             extra.append(unpack(e.as_py()))
         else:
-            values.append(np.frombuffer(k.as_buffer(), "<u8"))
-            slots.append(unpack_slots(s.as_buffer()))
+            values.append(unpack_numbers(k.as_buffer()))
+            slots.append(unpack_numbers(s.as_buffer()))
     return np.concatenate(slots), np.concatenate(values), extra
 
 
@@ -182,6 +179,8 @@ def blocks(docs: DataFrame, kind: ByteClass, send: Callable[..., pa.Table]) -> D
                         held, size = [], 0
         if held:
             yield from flush()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, ROWS)
 
@@ -195,6 +194,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("check", F.xxhash64("text"))
 
 
+def drop(work: Workspace, name: str) -> None:
+    """Remove a stored step that nothing will read any more."""
+    path = work.spark._jvm.org.apache.hadoop.fs.Path(work.path(name))
+    path.getFileSystem(work.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark) -> None:
     """Ask the JVM to notice frames that are no longer used, so that Spark removes
     the shuffle files of finished steps."""

@@ -8,8 +8,9 @@ its halves. Beyond it the windows are doubled on, until no candidates survive,
 if the longest repeats are asked for. Every word that a repeated window of the
 wanted length covers is removed, judged on the input.
 
-Keys of a level have 48 bits, those of the last one 62; a chance match at one
-level must match again at the next, with keys made anew.
+Keys of a level have as many bits as keep chance matches under a window in about
+8,000, whatever the size of the table; they only make candidates, which must
+match again at the next level with keys made anew. The last level's keys have 62 bits.
 
 Defined results: a null or empty text has no words; a text shorter than the
 window keeps all. A window that repeats within one text counts as well. Rows of
@@ -136,25 +137,34 @@ def covered(answers: DataFrame, width: int) -> DataFrame:
 def repeats(docs: DataFrame, work: Workspace, width: int = WIDTH, base: int = BASE) -> DataFrame:
     """doc_id, check and spans of the documents with words that repeated windows cover."""
     docs = exchange.keyed(docs)
-    n = exchange.buckets(docs)
+    windows, n = exchange.extent(docs)
     size = min(base, width)
-    rows = first_level(docs, n, size, LAST_BITS if size == width else exchange.BITS)
+    rows = first_level(docs, n, size, LAST_BITS if size == width else bits(windows))
+    before = None
     while True:
         answers = work.keep(f"repeats_{size}", compared(rows, n))
+        rows = None
+        if before:
+            exchange.drop(work, f"repeats_{before}")
         exchange.release(docs.sparkSession)
         if size == width:
-            return covered(answers, width).dropDuplicates(["doc_id", "check"])
-        to = min(2 * size, width)
-        rows = next_level(answers, n, to - size, to, LAST_BITS if to == width else exchange.BITS)
+            break
+        before, to = size, min(2 * size, width)
+        rows = next_level(answers, n, to - size, to, LAST_BITS if to == width else bits(windows))
         size = to
+    return covered(answers, width).dropDuplicates(["doc_id", "check"])
+
+
+def bits(windows: int) -> int:
+    return min(max(windows.bit_length() + 12, 32), LAST_BITS)
 
 
 def longest(docs: DataFrame, work: Workspace, base: int = BASE) -> list[tuple[int, int]]:
     """Doubles until no candidates survive: (length, documents with a window of
     that length that occurs again), for each length with any."""
     docs = exchange.keyed(docs)
-    n, size, out = exchange.buckets(docs), base, []
-    rows = first_level(docs, n, size, exchange.BITS)
+    (_, n), size, out = exchange.extent(docs), base, []
+    rows = first_level(docs, n, size, LAST_BITS)
     while True:
         answers = work.keep(f"longest_{size}", compared(rows, n))
         exchange.release(docs.sparkSession)
@@ -162,7 +172,7 @@ def longest(docs: DataFrame, work: Workspace, base: int = BASE) -> list[tuple[in
         if not found:
             return out
         out.append((size, found))
-        rows = next_level(answers, n, size, 2 * size, exchange.BITS)
+        rows = next_level(answers, n, size, 2 * size, LAST_BITS)
         size *= 2
 
 
