@@ -15,6 +15,10 @@ would have to be missing if no signature were shared:
   number of classes goes with the size of the set; sets next to a bound between
   sizes give the signatures of both sides.
 
+Of a pair the smaller set (either one, if they are equal in size) lacks fewer
+shingles than d: n - ceil(2 * 0.85 / 1.85 * n). So each set has a short prefix for
+meeting sets of its size or more, and the long one for meeting smaller sets only.
+
 Candidates share a signature and pass a bound by sizes and shingles no other
 document has. They are verified on their sets. To emit no pairs within large
 groups, each document first meets one centre, the most typical document among
@@ -47,7 +51,7 @@ WIDTH = 4
 PERCENT = 85
 RARE = 32  # a shingle in more documents is frequent
 
-SETS = "doc_id long, check long, size long, sum1 long, sum2 long, alone long, shingles binary, signatures array<long>"
+SETS = "doc_id long, check long, size long, sum1 long, sum2 long, alone long, shingles binary, short array<long>, long array<long>"
 
 
 def shingles(docs: DataFrame, n: int) -> DataFrame:
@@ -92,7 +96,7 @@ def shingles(docs: DataFrame, n: int) -> DataFrame:
             ids=ids, checks=checks, size=size, sum1=sums[0], sum2=sums[1], times=times[several],
             documents=document[local].astype(np.uint32), numbers=number[group[local]].astype(np.uint32),
         )
-        table = exchange.dealt(n, block, keys[start], slots.astype(np.uint32), own)
+        table = exchange.dealt(n, block, keys[start], slots, own)
         # The numbers of documents go with the keys of several.
         return with_times(table, keys[start], slots, times, n)
 
@@ -139,11 +143,17 @@ def missing(size: int) -> int:
     return size - -(-PERCENT * size // 100)
 
 
-def signatures(size: int, alone: int, values: np.ndarray) -> list[int]:
-    """Signatures of a set; ``values`` are its shared shingles, rare ones first."""
-    need = missing(size) + 1 - alone
+def missing_small(size: int) -> int:
+    """Most shingles of a set that a linked set of its size or more can lack."""
+    return size - -(-2 * PERCENT * size // (100 + PERCENT))
+
+
+def signatures(size: int, alone: int, values: np.ndarray, most: int) -> np.ndarray:
+    """Signatures of a set that lacks ``most`` of its shingles at most; ``values``
+    are its shared shingles, rare ones first."""
+    need = most + 1 - alone
     if missing(size) == 0 or need <= 0:
-        return []
+        return np.zeros(0, np.int64)
     number, key = values >> np.uint64(exchange.BITS), values & np.uint64((1 << exchange.BITS) - 1)
     rare = int(np.searchsorted(number, RARE, "right"))
     spread = mix(key * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
@@ -171,7 +181,7 @@ def signatures(size: int, alone: int, values: np.ndarray) -> list[int]:
                     break
                 a, b = part[same], part[same + step]
                 out.append(join_hashes(np.minimum(a, b) + np.uint64(band), np.maximum(a, b)))
-    return np.unique(np.concatenate(out)).view(np.int64).tolist()
+    return np.unique(np.concatenate(out)).view(np.int64)
 
 
 def sets(answers: DataFrame) -> DataFrame:
@@ -184,8 +194,8 @@ def sets(answers: DataFrame) -> DataFrame:
         own = extra[0]
         single = (slots & 1) == 0
         value_of = np.zeros(len(own["times"]), np.uint64)
-        value_of[slots[~single] >> 1] = values[~single]
-        document = np.concatenate([slots[single] >> 1, own["documents"]]).astype(np.int64)
+        value_of[slots[~single].astype(np.int64) >> 1] = values[~single]
+        document = np.concatenate([slots[single].astype(np.int64) >> 1, own["documents"]]).astype(np.int64)
         values = np.concatenate([values[single], value_of[own["numbers"]]])
         shared = np.bincount(document, minlength=len(own["ids"]))
         alone = own["size"] - shared
@@ -196,16 +206,18 @@ def sets(answers: DataFrame) -> DataFrame:
         order = np.lexsort((values, document))
         document, values = document[order], values[order]
         edges = np.searchsorted(document, np.arange(len(own["ids"]) + 1))
-        packed, signed = [None] * len(may), [None] * len(may)
+        packed, short, long = ([None] * len(may) for _ in range(3))
         for i in np.flatnonzero(may).tolist():
             part = values[edges[i] : edges[i + 1]]
             packed[i] = np.sort(part & np.uint64((1 << exchange.BITS) - 1)).astype("<u8").tobytes()
-            signed[i] = signatures(int(own["size"][i]), int(alone[i]), part)
+            size, lonely = int(own["size"][i]), int(alone[i])
+            short[i] = signatures(size, lonely, part, missing_small(size)).tolist()
+            long[i] = np.setdiff1d(signatures(size, lonely, part, missing(size)), short[i]).tolist()
         return pa.table(
             {
                 "doc_id": pa.array(own["ids"]), "check": pa.array(own["checks"]), "size": pa.array(own["size"], pa.int64()),
                 "sum1": pa.array(own["sum1"].view(np.int64)), "sum2": pa.array(own["sum2"].view(np.int64)),
-                "alone": pa.array(alone, pa.int64()), "shingles": pa.array(packed, pa.binary()), "signatures": pa.array(signed, pa.list_(pa.int64())),
+                "alone": pa.array(alone, pa.int64()), "shingles": pa.array(packed, pa.binary()), "short": pa.array(short, pa.list_(pa.int64())), "long": pa.array(long, pa.list_(pa.int64())),
             }
         )
 
@@ -213,9 +225,13 @@ def sets(answers: DataFrame) -> DataFrame:
 
 
 def possible(a: str, b: str) -> Column:
-    """Whether two sets may link by their sizes and the shingles that only one document has."""
+    """Whether two sets may link by the prefixes that have the signature, their
+    sizes and the shingles that only one document has. ``short``: the signature
+    is of the short prefix, and the set may meet those of its size or more."""
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    role = (F.col(f"{a}.short") | (size_a > size_b)) & (F.col(f"{b}.short") | (size_b > size_a))
     most = F.least(F.col(f"{a}.size") - F.col(f"{a}.alone"), F.col(f"{b}.size") - F.col(f"{b}.alone"))
-    return 100 * most >= PERCENT * (F.col(f"{a}.size") + F.col(f"{b}.size") - most)
+    return role & (100 * most >= PERCENT * (size_a + size_b - most))
 
 
 def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -242,7 +258,7 @@ def classes(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, check, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     rows = exchange.keyed(docs)
-    n = exchange.buckets(rows)
+    _, n = exchange.extent(rows)
     every = work.keep("sets", sets(counted(shingles(rows, n))))
     exchange.release(spark)
     real = F.col("doc_id") != exchange.NO_ID
@@ -254,7 +270,10 @@ def classes(docs: DataFrame, work: Workspace) -> DataFrame:
     able = every.where(F.col("shingles").isNotNull() & real)
     reps = able.join(members.where("rep = doc_id").select("doc_id", "check"), ["doc_id", "check"], "left_semi")
     own = reps.select(F.col("doc_id").alias("rep"), "size", "alone", "sum1", "sum2", "shingles").dropDuplicates(["rep", "size", "sum1", "sum2"])
-    signed = reps.select(F.struct(F.col("doc_id").alias("rep"), "size", "alone", "sum1").alias("x"), F.explode("signatures").alias("signature")).distinct()
+    of = lambda column, short: F.transform(column, lambda x: F.struct(x.alias("signature"), F.lit(short).alias("short")))
+    roles = F.inline(F.concat(of("short", True), of("long", False)))
+    signed = reps.select("doc_id", "size", "alone", "sum1", roles)
+    signed = signed.select(F.struct(F.col("doc_id").alias("rep"), "size", "alone", "sum1", "short").alias("x"), "signature").distinct()
     signed = work.keep("signed", signed)
     typical = F.struct((F.col("x.alone") / F.col("x.size")).alias("share"), F.col("x").alias("x"))
     centres = signed.groupBy("signature").agg(F.min(typical).alias("c"), F.count("*").alias("n")).where("n > 1").select("signature", F.col("c.x").alias("c"))

@@ -113,7 +113,10 @@ def test_signatures_are_shared_by_similar_sets():
         if 100 * len(set(a) & set(b)) < 85 * union:
             continue
         values = (number << np.uint64(48)) | keys
-        one, two = (set(jaccard.signatures(len(x), 0, np.sort(values[x]))) for x in (a, b))
+        small, large = sorted((a, b), key=len)
+        most = jaccard.missing_small(len(large)) if len(a) == len(b) else jaccard.missing(len(large))
+        one = set(jaccard.signatures(len(small), 0, np.sort(values[small]), jaccard.missing_small(len(small))).tolist())
+        two = set(jaccard.signatures(len(large), 0, np.sort(values[large]), most).tolist())
         assert one & two or len(a) == len(b) == union
 
 
@@ -399,8 +402,8 @@ def test_packed_keys():
         for top in (50, 2**48, 2**63 - 1):
             keys = np.sort(rng.integers(0, top, size).astype(np.uint64))
             assert (exchange.unpack_keys(exchange.pack_keys(keys)) == keys).all()
-    for slots in ([], [0], [2**24 - 1, 3], [2**24, 1]):
-        assert exchange.unpack_slots(exchange.pack_slots(np.array(slots, np.uint32))).tolist() == slots
+    for numbers in ([], [0], [2**24 - 1, 3], [2**24, 1], [2**64 - 1]):
+        assert exchange.unpack_numbers(exchange.pack_numbers(np.array(numbers, np.uint64))).tolist() == numbers
 
 
 def test_texts_of_slices():
