@@ -86,6 +86,17 @@ def _project(table: str, key: str, text: str) -> str:
     )
 
 
+def _slices(source: str, columns: str, place: str, stride: int) -> str:
+    """K-mers of a table of sequences. Sequences are cut into pieces of 500
+    places first, as finding a place in a long string takes as long as it is."""
+    return (
+        f"SELECT {columns}, c + p AS {place}, substr(part, p + 1, {K}) AS kmer FROM"
+        f" (SELECT *, unnest(range(0, least(500, len - {K} + 1 - c), {stride})) AS p FROM"
+        f" (SELECT *, substr(seq, c + 1, {500 + K}) AS part FROM"
+        f" (SELECT *, unnest(range(0, len - {K} + 1, 500)) AS c FROM {source})))"
+    )
+
+
 def _flip(prefix: str, part: str) -> str:
     mirrored = {"beg": "end", "end": "beg", "off": "off"}[part]
     return f"CASE WHEN qdir = 1 THEN {prefix}size - {prefix}{mirrored} ELSE {prefix}{part} END"
@@ -105,21 +116,17 @@ CTES = {
     "placed": "SELECT *, sum(len) OVER (ORDER BY read_id) - len AS goff0 FROM reads",
     "refs": _project("benchmark", "item_id", "text"),
     "placed_refs": "SELECT *, sum(len) OVER (ORDER BY read_id) - len AS goff0 FROM refs",
-    "all_kmers": f"SELECT read_id, goff0, len, pos, substr(seq, pos + 1, {K}) AS kmer FROM"
-    f" (SELECT *, unnest(range(0, len - {K} + 1)) AS pos FROM placed)",
-    "sampled_kmers": f"SELECT read_id, goff0, pos, substr(seq, pos + 1, {K}) AS kmer FROM"
-    f" (SELECT *, unnest(range(0, len - {K} + 1, {Z})) AS pos FROM placed)",
+    "all_kmers": _slices("placed", "read_id, goff0, len", "pos", 1),
+    "sampled_kmers": _slices("placed", "read_id, goff0", "pos", Z),
     "strands": "SELECT read_id, len, 0 AS qdir, seq FROM reads UNION ALL"
     " SELECT read_id, len, 1 AS qdir, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM reads",
-    "query_kmers": f"SELECT read_id AS qid, len AS qsize, qdir, pos AS qoff, substr(seq, pos + 1, {K}) AS kmer FROM"
-    f" (SELECT *, unnest(range(0, len - {K} + 1, {Z})) AS pos FROM strands)",
+    "query_kmers": _slices("strands", "read_id AS qid, len AS qsize, qdir", "qoff", Z),
     "kept_kmers": f"SELECT kmer FROM all_kmers GROUP BY kmer HAVING count(*) <= {Q}",
     "kmer_table": "SELECT kmer, read_id AS sid, len AS ssize, goff0 AS sref, pos AS soff FROM all_kmers"
     " WHERE kmer IN (SELECT kmer FROM kept_kmers)",
     "seed_rows": "SELECT qid, qdir, qsize, qoff, sid, ssize, sref, soff FROM query_kmers"
     " JOIN kmer_table USING (kmer) WHERE sid < qid",
-    "ref_kmers": f"SELECT read_id, goff0, len, pos, substr(seq, pos + 1, {K}) AS kmer FROM"
-    f" (SELECT *, unnest(range(0, len - {K} + 1)) AS pos FROM placed_refs)",
+    "ref_kmers": _slices("placed_refs", "read_id, goff0, len", "pos", 1),
     "ref_table": "SELECT kmer, read_id AS sid, pos AS soff FROM ref_kmers WHERE kmer IN"
     f" (SELECT kmer FROM ref_kmers GROUP BY kmer HAVING count(*) <= {Q})",
     "ref_seeds": "SELECT qid, qdir, sid, qoff, soff FROM query_kmers JOIN ref_table USING (kmer)",
@@ -209,7 +216,8 @@ def _seed_steps(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("qid", "qdir", "sid").orderBy("soff", "qoff")
     rows = inp.read_seeds(spark, d).withColumns({"q0": F.lag("qoff").over(order), "s0": F.lag("soff").over(order)})
     known = rows.where(F.col("q0").isNotNull())
-    return known.withColumn("score", seq.ddf(F.col("qoff"), F.col("soff"), F.col("q0"), F.col("s0")))
+    score = seq.ddf(F.col("qoff"), F.col("soff"), F.col("q0"), F.col("s0"))
+    return known.withColumn("millionths", F.floor(score * 1e6))
 
 
 def _anchored(spark: SparkSession, d: str) -> DataFrame:
@@ -489,8 +497,8 @@ QUERIES = [
     Query("f9_block_id", "qid qdir sid qoff soff block_id",
           lambda s, d: sd.with_blocks(inp.read_seeds(s, d), BLOCK),
           "SELECT qid, qdir, sid, qoff, soff, block_id FROM block_rows"),
-    Query("f10_ddf_score", "qid qdir sid qoff soff score:d", _seed_steps,
-          f"SELECT qid, qdir, sid, qoff, soff, {_ddf('qoff', 'soff', '(qoff - dq)', '(soff - ds)')} AS score FROM stepped"
+    Query("f10_ddf_score", "qid qdir sid qoff soff millionths", _seed_steps,
+          f"SELECT qid, qdir, sid, qoff, soff, floor(({_ddf('qoff', 'soff', '(qoff - dq)', '(soff - ds)')})::DOUBLE * 1000000) AS millionths FROM stepped"
           " WHERE ds IS NOT NULL"),
     Query("f11_overlap_class", "qid qdir sid qext sext kind:s",
           lambda s, d: inp.overlaps(s, d).withColumn("kind", seq.overlap_class(200)),
