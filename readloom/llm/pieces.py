@@ -16,7 +16,7 @@ import numpy as np
 
 from readloom.llm.text import ByteClass, mix
 
-MOST_PIECES = 1_500_000  # of the kept table
+MOST_PIECES = 500_000  # of the kept table
 
 
 def _between() -> ByteClass:

@@ -29,7 +29,7 @@ from readloom.llm.text import Texts, small_batches
 from readloom.llm.token_files import VOCABULARY, word_codec
 
 END = 49407
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 14  # a batch of blocks has to fit a task
 
 BLOCKS = "file long, block long, ids binary, names binary"
 

@@ -229,7 +229,7 @@ def test_token_files(spark, work):
     assert token_files.counts(spark, work.path("none"), work).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 3, 50, 1 << 19])
+@pytest.mark.parametrize("block", [1, 3, 50, 1 << 14])
 def test_separator_scan(spark, work, block):
     texts = messy(3)[:60] + ["word " * 400]
     tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
