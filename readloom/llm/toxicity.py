@@ -31,9 +31,9 @@ from readloom.llm.text import Texts, append, small_batches
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-MAX_EACH = {1: 3000, 0: 6000}  # training rows of a class
+MAX_EACH = {1: 2000, 0: 3000}  # training rows of a class
 LEAST_TEXTS = 8  # a feature in fewer training texts is left out
-LEAST_RATIO = 0.7  # as is one whose log-count ratio is nearer to zero
+LEAST_RATIO = 1.0  # as is one whose log-count ratio is nearer to zero
 THRESHOLD = 0.3
 STEPS, RATE, PENALTY = 300, 0.05, 1e-4
 
