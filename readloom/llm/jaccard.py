@@ -152,7 +152,8 @@ def signatures(size: int, alone: int, values: np.ndarray, most: int) -> np.ndarr
     """Signatures of a set that lacks ``most`` of its shingles at most; ``values``
     are its shared shingles, rare ones first."""
     need = most + 1 - alone
-    if missing(size) == 0 or need <= 0:
+    # Equal sets are one class; a set this small links with no other.
+    if 100 * size < PERCENT * (size + 1) or need <= 0:
         return np.zeros(0, np.int64)
     number, key = values >> np.uint64(exchange.BITS), values & np.uint64((1 << exchange.BITS) - 1)
     rare = int(np.searchsorted(number, RARE, "right"))

@@ -120,6 +120,32 @@ def test_signatures_are_shared_by_similar_sets():
         assert one & two or len(a) == len(b) == union
 
 
+def test_signatures_of_small_sets():
+    """Small sets, next to all larger ones that they link with, meet as well."""
+    rng = np.random.default_rng(6)
+    for size in [*range(1, 40)] * 10:
+        for more in range(100 * size // jaccard.PERCENT - size + 1):
+            keys = rng.choice(10**6, size + more, replace=False).astype(np.uint64)
+            values = (rng.choice([2, 5, 40, 900], size + more).astype(np.uint64) << np.uint64(48)) | keys
+            small = jaccard.signatures(size, 0, np.sort(values[:size]), jaccard.missing_small(size))
+            large = jaccard.signatures(size + more, 0, np.sort(values), jaccard.missing(size + more))
+            assert more == 0 or set(small.tolist()) & set(large.tolist())
+
+
+@pytest.mark.parametrize("rare", [1, 32])
+def test_jaccard_of_short_texts(spark, work, monkeypatch, rare):
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    rng = random.Random(12)
+    texts = []
+    for n in range(1, 24):
+        base = words(rng, n, 10**6)
+        texts += [base, base + " end", "start " + base, base + " end of", words(rng, n, 3)]
+    got = by_id(jaccard.classes(frame(spark, range(len(texts)), texts), work), "n_shingles", "component_id")
+    want = similar_components(range(len(texts)), texts)
+    assert want[40][1] == want[41][1] == 40  # 9 words, and one more
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_jaccard_odd_rows(spark, work):
     same = "a b c d e f"
     docs = frame(spark, [5, 5, None, 7, 8, 9, None], [same, same, same, None, "", same, "z"])
