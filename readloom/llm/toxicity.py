@@ -31,11 +31,12 @@ from readloom.llm.text import Texts, append, small_batches
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-MAX_EACH = {1: 2000, 0: 3000}  # training rows of a class
+MAX_EACH = {1: 3000, 0: 6000}  # training rows of a class
 LEAST_TEXTS = 8  # a feature in fewer training texts is left out
-LEAST_RATIO = 1.0  # as is one whose log-count ratio is nearer to zero
+LEAST_RATIO = 0.7  # as is one whose log-count ratio is nearer to zero
 THRESHOLD = 0.3
 STEPS, RATE, PENALTY = 300, 0.05, 1e-4
+BLOCK = 1 << 20  # counts that a training step looks at together
 
 
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +91,43 @@ class Model:
         return [pa.array(np.concatenate(out) if out else np.zeros(0))]
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Counts of kept features in the training texts from ``first`` to ``last``, text by text."""
+
+    first: int
+    last: int
+    sizes: np.ndarray  # entries of each text
+    column: np.ndarray
+    count: np.ndarray
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        out, full = np.zeros(self.last - self.first), self.sizes > 0
+        if full.any():
+            out[full] = np.add.reduceat(self.count * weight[self.column], (np.cumsum(self.sizes) - self.sizes)[full])
+        return out
+
+    def slopes(self, error: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(self.column, self.count * np.repeat(error, self.sizes), n)
+
+
+def counted(texts: list[str], place: np.ndarray) -> Iterator[Counts]:
+    """Blocks of about ``BLOCK`` counts in as few bytes as they need."""
+    first, sizes, column, count = 0, [], [], []
+    for i, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        points, _ = characters(data, np.array([0, len(data)]))
+        found = [place[ids] for _, ids in features(points, SIZES)]
+        found = np.concatenate(found) if found else np.zeros(0, np.int32)
+        ids, counts = np.unique(found[found >= 0], return_counts=True)
+        sizes.append(len(ids))
+        column.append(ids)
+        count.append(counts.astype(np.min_scalar_type(int(counts.max(initial=0)))))
+        if sum(sizes) >= BLOCK or i == len(texts) - 1:
+            yield Counts(first, i + 1, np.array(sizes), np.concatenate(column), np.concatenate(count))
+            first, sizes, column, count = i + 1, [], [], []
+
+
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     """Ratios, then logistic regression on the scaled counts."""
     n, positives = len(texts), int(toxic.sum())
@@ -97,14 +135,14 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     constant = Model(float(np.log(prior / (1 - prior))), np.zeros(0, np.int64), np.zeros(0))
     if not 0 < positives < n:
         return constant
-    rows, lengths = [], np.ones(n)
+    root = np.ones(n)
     seen = {0: np.zeros(1 << BITS, np.int32), 1: np.zeros(1 << BITS, np.int32)}
     for i, text in enumerate(texts):
         data = np.frombuffer(text.encode(), np.uint8)
         points, _ = characters(data, np.array([0, len(data)]))
         parts = [ids for _, ids in features(points, SIZES)]
         ids = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
-        lengths[i] = max(len(points), 1)
+        root[i] = np.sqrt(max(len(points), 1))
         seen[int(toxic[i])][ids] += 1
     share = {c: (seen[c] + 1) / (np.sum(toxic == c) + 2) for c in (0, 1)}
     ratio = np.log(share[1] / share[0])
@@ -113,30 +151,26 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         return constant
     place = np.full(1 << BITS, -1, np.int32)
     place[keep] = np.arange(len(keep))
-    where, column, value = [], [], []
-    for i, text in enumerate(texts):
-        data = np.frombuffer(text.encode(), np.uint8)
-        points, _ = characters(data, np.array([0, len(data)]))
-        found = [place[ids] for _, ids in features(points, SIZES)]
-        found = np.concatenate(found) if found else np.zeros(0, np.int32)
-        ids, counts = np.unique(found[found >= 0], return_counts=True)
-        where.append(np.full(len(ids), i, np.int32))
-        column.append(ids)
-        value.append(counts / np.sqrt(lengths[i]))
-    where, column = np.concatenate(where), np.concatenate(column)
-    value = np.concatenate(value) * ratio[keep][column]
+    ratio = ratio[keep]
+    del seen, share
+    blocks = list(counted(texts, place))
     weight, bias = np.zeros(len(keep)), float(np.log(prior / (1 - prior)))
     state = [np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)]
     for step in range(1, STEPS + 1):
-        margin = bias + np.bincount(where, value * weight[column], n)
-        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic) / n
-        slope = np.append(np.bincount(column, value * error[where], len(keep)) + PENALTY * weight, error.sum())
+        scaled, slope, errors = weight * ratio, np.zeros(len(keep)), 0.0
+        for x in blocks:
+            own = slice(x.first, x.last)
+            margin = bias + x.sums(scaled) / root[own]
+            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic[own]) / n
+            slope += x.slopes(error / root[own], len(keep))
+            errors += error.sum()
+        slope = np.append(slope * ratio + PENALTY * weight, errors)
         state[0] = 0.9 * state[0] + 0.1 * slope
         state[1] = 0.999 * state[1] + 0.001 * slope**2
         move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
         weight -= move[:-1]
         bias -= move[-1]
-    return Model(float(bias), keep, weight * ratio[keep])
+    return Model(float(bias), keep, weight * ratio)
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

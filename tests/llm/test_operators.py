@@ -380,6 +380,18 @@ def test_toxicity(spark):
     assert again.intercept == model.intercept and (again.weight == model.weight).all()
 
 
+def test_toxicity_trains_in_blocks(monkeypatch):
+    """The whole sample and all telling features, whatever the blocks of the training arrays."""
+    assert toxicity.MAX_EACH == {1: 3000, 0: 6000} and toxicity.LEAST_RATIO == 0.7
+    rng = random.Random(4)
+    texts = [words(rng, 40, 60) + (" vilename" * 300 if i % 4 == 0 else "") for i in range(80)] + ["", "ab"]
+    marks = np.array([int(i % 4 == 0) for i in range(82)])
+    one = toxicity.train(texts, marks)
+    monkeypatch.setattr(toxicity, "BLOCK", 500)
+    two = toxicity.train(texts, marks)
+    assert (one.feature == two.feature).all() and np.allclose(one.weight, two.weight) and np.isclose(one.intercept, two.intercept)
+
+
 def test_pivot_search(spark, work, monkeypatch):
     rng = np.random.default_rng(9)
     vectors = [rng.normal(size=8).tolist() for _ in range(300)]
