@@ -8,7 +8,9 @@ that a few telling n-grams count in a long text as well.
 
 The classifier is fitted on a bounded sample of the labelled rows, at most
 ``MAX_EACH`` per class, chosen by a hash of the id; scoring reads all rows and
-whole texts. Rows with a null label take no part in the fit.
+whole texts. Rows with a null label take no part in the fit. The intercept is
+moved from the odds of the sample to those of all labelled training rows, so
+that scores mean the same at every size.
 
 Defined results: a null or empty text has no features and is scored by the
 intercept alone. Without any training row, or with one class only, every text
@@ -128,11 +130,13 @@ def counted(texts: list[str], place: np.ndarray) -> Iterator[Counts]:
             first, sizes, column, count = i + 1, [], [], []
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Model:
-    """Ratios, then logistic regression on the scaled counts."""
+def train(texts: list[str], toxic: np.ndarray, every: tuple[int, int] | None = None) -> Model:
+    """Ratios, then logistic regression on the scaled counts. ``every`` has the
+    numbers of other and of toxic rows that the texts were sampled from."""
     n, positives = len(texts), int(toxic.sum())
+    every = every or (n - positives, positives)
     prior = (positives + 1) / (n + 2)
-    constant = Model(float(np.log(prior / (1 - prior))), np.zeros(0, np.int64), np.zeros(0))
+    constant = Model(float(np.log((every[1] + 1) / (every[0] + 1))), np.zeros(0, np.int64), np.zeros(0))
     if not 0 < positives < n:
         return constant
     root = np.ones(n)
@@ -170,7 +174,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
         weight -= move[:-1]
         bias -= move[-1]
-    return Model(float(bias), keep, weight * ratio)
+    shift = np.log(every[1] / every[0]) - np.log(positives / (n - positives))
+    return Model(float(bias + shift), keep, weight * ratio)
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -183,6 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_each: dict[int, int] = MAX_EACH)
     task can hold their texts."""
     small_batches(docs.sparkSession)
     usable = labels.where((remainder() != 2) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    every = (totals.get(0, 0), totals.get(1, 0))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [usable.where(F.col("toxic") == c).orderBy(*order).limit(most) for c, most in max_each.items()]
     chosen = chosen[0].unionAll(chosen[1])
@@ -191,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_each: dict[int, int] = MAX_EACH)
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id")
-        model = train(group["text"].tolist(), group["toxic"].to_numpy())
+        model = train(group["text"].tolist(), group["toxic"].to_numpy(), every)
         packed = (model.feature.astype("<i4").tobytes(), model.weight.astype("<f4").tobytes())
         return pd.DataFrame([[model.intercept, *packed]], columns=["intercept", "feature", "weight"])
 

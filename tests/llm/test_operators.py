@@ -392,6 +392,16 @@ def test_toxicity_trains_in_blocks(monkeypatch):
     assert (one.feature == two.feature).all() and np.allclose(one.weight, two.weight) and np.isclose(one.intercept, two.intercept)
 
 
+def test_toxicity_scores_keep_their_meaning_when_sampled(spark):
+    """A sample of equal classes from rows of which a tenth are toxic: scores average to a tenth, not a half."""
+    rng = random.Random(7)
+    docs = frame(spark, range(1500), [words(rng, 30, 50) for _ in range(1500)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1500)] + [(10**6 + i, 1) for i in range(3000)], "doc_id long, toxic long")
+    model = toxicity.fit(docs, labels, {1: 80, 0: 80})
+    mean = toxicity.score(docs, model).where(toxicity.remainder("row.doc_id") == 2).agg(F.avg("score")).first()[0]
+    assert 0.03 < mean < 0.25
+
+
 def test_pivot_search(spark, work, monkeypatch):
     rng = np.random.default_rng(9)
     vectors = [rng.normal(size=8).tolist() for _ in range(300)]
