@@ -51,12 +51,12 @@ def linked(found: DataFrame) -> DataFrame:
     part = lambda kind, column: found.where(F.size(column) > 0).where(F.size("access") > 0).select(
         "row_no", F.lit(kind).alias("kind"), F.explode(column).alias("x")
     ).select("row_no", "kind", "x.start", "x.end")
-    place = F.floor(F.col("start") / SCOPE).cast("long")
     access = found.where(F.size("access") > 0).select("row_no", F.explode("access").alias("x")).select("row_no", F.col("x.start").alias("a_start"), F.col("x.end").alias("a_end"))
     near = F.explode(F.sequence(F.floor((F.col("a_start") - SCOPE) / SCOPE), F.floor((F.col("a_end") + SCOPE) / SCOPE)))
     reach = access.select("*", near.alias("place"))
     others = part("assign", "assign").unionAll(part("hex", "hex")).unionAll(part("secret", "bare")).unionAll(part("endpoint", "endpoint"))
-    others = others.withColumn("place", place)
+    # A part stands in every stretch that it touches; pairs that share several are made distinct below.
+    others = others.select("*", F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE))).alias("place"))
     met = others.join(reach, ["row_no", "place"]).where((F.col("start") < F.col("a_end") + SCOPE) & (F.col("end") > F.col("a_start") - SCOPE))
     # A bare part that only repeats a strong one adds nothing.
     secrets = met.where(F.col("kind") == "secret").select("row_no", "kind", "start", "end").distinct()
