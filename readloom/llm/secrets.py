@@ -25,7 +25,7 @@ ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 #: Weak on their own: 40 characters as of a secret key, and addresses of services.
-BARE = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
+BARE = r"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>]+"""
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 SCOPE = 300
