@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.heavy import heavy, lookup
 from readloom.session import Workspace
 
 
@@ -16,15 +17,20 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = work.keep(f"{name}_links", both)
+    # Hubs have many links, and large components many nodes: their labels go to where the rows are.
+    total = both.count()
+    hubs = work.keep(f"{name}_hubs", heavy(both.groupBy("b").agg(F.count("*").alias("n")), total)).select(F.col("b").alias("node"))
     labels = work.keep(f"{name}_0", both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     done = 0
     while True:
         done += 1
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("component").alias("near"))
+        met = lookup(both.withColumnRenamed("b", "node"), labels, ["node"], hubs)
+        seen = met.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         own = labels.join(seen, "node")
         own = own.select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         far = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        own = own.join(far, "component", "left").select("node", "old", F.least("component", "far").alias("component"))
+        large = heavy(labels.groupBy("component").agg(F.count("*").alias("n")), total)
+        own = lookup(own, far, ["component"], large).select("node", "old", F.least("component", "far").alias("component"))
         own = work.keep(f"{name}_{done}", own)
         changed = own.where(F.col("old") != F.col("component")).limit(1).count()
         labels = own.select("node", "component")

@@ -19,10 +19,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.text import ByteClass, Texts, small_batches
+from readloom.llm.text import ByteClass, Texts, join_hashes, small_batches
 from readloom.session import Workspace
 
 ROWS = "bucket int, block long, keys binary, slots binary, extra binary"
@@ -141,19 +142,26 @@ def blocks(docs: DataFrame, kind: ByteClass, send: Callable[..., pa.Table]) -> D
     """Rows that ``send(block, doc_ids, checks, first_word, words)`` makes of each block of documents.
 
     ``docs`` has doc_id, text and check, a hash of the text that tells rows of
-    equal doc_id apart. A block is named by what is in it.
+    equal doc_id apart. A block is named by its partition, its number there and
+    what is in it: equal blocks have names of their own, a repeated task gives the
+    same names, and one that read its rows in another order does not.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        size = 0
+        size, number, partition = 0, 0, TaskContext.get().partitionId()
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
             ids, checks, counts, words = (np.concatenate(x) for x in zip(*held, strict=True))
             first = np.concatenate([[0], np.cumsum(counts)])
-            name = np.bitwise_xor.reduce(checks.view(np.uint64) * np.arange(1, 2 * len(checks), 2, dtype=np.uint64))
-            block = int(name >> np.uint64(2)) ^ int(ids[0] & 0xFFFFFFFF)
+            parts = [ids.view(np.uint64), checks.view(np.uint64)]
+            held_here = [np.bitwise_xor.reduce(x * np.arange(1, 2 * len(x), 2, dtype=np.uint64)) for x in parts]
+            name = np.array([partition], np.uint64)
+            for x in (number, *held_here):
+                name = join_hashes(name, np.array([x], np.uint64))
+            block, number = int(name[0] >> np.uint64(2)), number + 1
             yield from send(block, ids, checks, first, words).to_batches()
 
         for batch in batches:
@@ -194,6 +202,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("check", F.xxhash64("text"))
 
 
+def settled(docs: DataFrame, work: Workspace) -> DataFrame:
+    """Rows that a repeated task reads in the same order. Files are read so; what
+    comes out of a shuffle may not be, and is stored first."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return work.keep("settled", docs) if "Exchange" in plan else docs
+
+
 def drop(work: Workspace, name: str) -> None:
     """Remove a stored step that nothing will read any more."""
     path = work.spark._jvm.org.apache.hadoop.fs.Path(work.path(name))

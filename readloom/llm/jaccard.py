@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm import exchange
 from readloom.llm.components import components
+from readloom.llm.heavy import heavy, lookup
 from readloom.llm.text import folded, join_hashes, mix, white_space, window_hashes, windows_inside
 from readloom.session import Workspace
 
@@ -191,7 +192,7 @@ def sets(answers: DataFrame) -> DataFrame:
     def collect(group: pa.Table) -> pa.Table:
         slots, values, extra = exchange.answered(group)
         if len(extra) != 1:
-            raise ValueError("a block came back in parts: its rows were read in another order")
+            raise ValueError("a block came back in parts: a repeated task read its rows in another order")
         own = extra[0]
         single = (slots & 1) == 0
         value_of = np.zeros(len(own["times"]), np.uint64)
@@ -258,18 +259,21 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, check, n_shingles and component_id of every row."""
     spark = docs.sparkSession
-    rows = exchange.keyed(docs)
+    rows = exchange.settled(exchange.keyed(docs), work)
     _, n = exchange.extent(rows)
     every = work.keep("sets", sets(counted(shingles(rows, n))))
     exchange.release(spark)
     real = F.col("doc_id") != exchange.NO_ID
     # Equal sets are one class, named by its smallest doc_id; so are rows of one doc_id.
-    small = every.select("doc_id", "check", "size", "sum1", "sum2")
-    named = small.where("size > 0").groupBy("size", "sum1", "sum2").agg(F.min(F.when(real, F.col("doc_id"))).alias("rep"))
-    members = small.join(named, ["size", "sum1", "sum2"], "left").withColumn("rep", F.when(F.col("size") > 0, F.col("rep")).when(real, F.col("doc_id")))
-    members = work.keep("members", members)
+    small, key = every.select("doc_id", "check", "size", "sum1", "sum2"), ["size", "sum1", "sum2"]
+    rep = F.min(F.when(real, F.struct("doc_id", "check")))
+    named = work.keep("classes", small.where("size > 0").groupBy(*key).agg(rep.alias("one"), F.count("*").alias("n")))
+    named = named.select(*key, F.col("one.doc_id").alias("rep"), F.col("one.check").alias("check"), "n")
+    large = heavy(named, every.count())
+    members = lookup(small.where("size > 0"), named.select(*key, "rep"), key, large)
+    members = work.keep("members", members.unionByName(small.where("size = 0").withColumn("rep", F.when(real, F.col("doc_id")))))
     able = every.where(F.col("shingles").isNotNull() & real)
-    reps = able.join(members.where("rep = doc_id").select("doc_id", "check"), ["doc_id", "check"], "left_semi")
+    reps = able.join(named.select(F.col("rep").alias("doc_id"), "check"), ["doc_id", "check"], "left_semi")
     own = reps.select(F.col("doc_id").alias("rep"), "size", "alone", "sum1", "sum2", "shingles").dropDuplicates(["rep", "size", "sum1", "sum2"])
     of = lambda column, short: F.transform(column, lambda x: F.struct(x.alias("signature"), F.lit(short).alias("short")))
     roles = F.inline(F.concat(of("short", True), of("long", False)))
@@ -302,7 +306,7 @@ def classes(docs: DataFrame, work: Workspace) -> DataFrame:
     first = members.where(real).groupBy("doc_id").agg(F.min("rep").alias("a"))
     same = members.join(first, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     final = components(every_link.unionAll(same), work, "final")
-    out = members.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out = lookup(members, final.select(F.col("node").alias("rep"), "component"), ["rep"], large)
     component = F.coalesce("component", "rep")
     return out.select(F.nullif("doc_id", F.lit(exchange.NO_ID)).alias("doc_id"), "check", F.col("size").alias("n_shingles"), component.alias("component_id"))
 

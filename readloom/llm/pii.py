@@ -28,13 +28,14 @@ from readloom.llm.spans import digits, named, with_spans, written
 from readloom.session import Workspace
 
 #: Base patterns. A match starts where its run of characters does, or where the match before it ended.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+#: Repeats are possessive, inside and outside of a group: no way back is kept, so no stack grows with the match.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9]([\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Looser ones.
 LOOSE_PHONE = r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"
-SPELLED = r"(?<![A-Za-z0-9])[A-Za-z0-9._-]+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]+\x20?[(\[]dot[)\]]\x20?[A-Za-z]{2,10}"
+SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++\x20?[(\[]dot[)\]]\x20?[A-Za-z]{2,10}"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 KINDS = ("email", "ip", "card", "phone", "loose_phone", "spelled", "social")
 BASE = KINDS[:4]
@@ -66,23 +67,22 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``row`` and an array of (start, end, found) for each kind; candidates also have the text before them."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
-    df = with_spans(df, "email", EMAIL, text.contains("@"))
-    df = with_spans(df, "ip", IP, text.rlike(r"[0-9]\.[0-9]"))
+    df = with_spans(df, "email", EMAIL, text.contains("@"), left=LEFT)
+    df = with_spans(df, "ip", IP, text.rlike(r"[0-9]\.[0-9]"), left=LEFT)
     part = lambda x, i: F.element_at(F.split(x["found"], r"\."), i)
     small = lambda x, i: F.ltrim(part(x, i), F.lit("0")).try_cast("int").isNull() | (F.ltrim(part(x, i), F.lit("0")).try_cast("int") <= 255)
     short = lambda x: F.forall(F.split(x["found"], r"\."), lambda p: F.char_length(F.ltrim(p, F.lit("0"))) <= 3)
     df = df.withColumn("ip", F.filter("ip", lambda x: short(x) & small(x, 1) & small(x, 2) & small(x, 3) & small(x, 4)))
-    df = with_spans(df, "card", CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"))
+    df = with_spans(df, "card", CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), left=LEFT)
     df = df.withColumn("card", F.filter("card", lambda x: F.char_length(digits(x["found"])).between(16, 19)))
     df = df.withColumn("card", F.filter("card", lambda x: luhn(digits(x["found"]))))
-    df = with_spans(df, "phone", PHONE, text.contains("+"))
+    df = with_spans(df, "phone", PHONE, text.contains("+"), left=LEFT)
     df = df.withColumn("phone", F.filter("phone", lambda x: F.char_length(digits(x["found"])).between(8, 15)))
-    df = with_spans(df, "loose_phone", LOOSE_PHONE, text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"))
-    df = with_spans(df, "spelled", SPELLED, text.rlike(r"[(\[]at[)\]]"))
-    df = with_spans(df, "social", SOCIAL, text.rlike(r"[0-9]-[0-9]{2}-[0-9]"))
-    before = lambda x: F.substring(text, F.greatest(x["start"] - LEFT, F.lit(0)) + 1, F.least(x["start"], F.lit(LEFT)))
+    df = with_spans(df, "loose_phone", LOOSE_PHONE, text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), left=LEFT)
+    df = with_spans(df, "spelled", SPELLED, text.rlike(r"[(\[]at[)\]]"), left=LEFT)
+    df = with_spans(df, "social", SOCIAL, text.rlike(r"[0-9]-[0-9]{2}-[0-9]"), left=LEFT)
     struct = lambda kind: lambda x: F.struct(
-        F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), before(x).alias("left")
+        F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["left"].alias("left")
     )
     every = F.concat(*[F.transform(k, struct(k)) for k in KINDS])
     return df.withColumn("candidates", every).drop("text")

@@ -14,7 +14,8 @@ match again at the next level with keys made anew. The last level's keys have 62
 
 Defined results: a null or empty text has no words; a text shorter than the
 window keeps all. A window that repeats within one text counts as well. Rows of
-equal doc_id and text count as two, and lose the same words. Extra columns stay
+equal doc_id and text count as two, and lose the same words, also where the whole
+table is there twice. Extra columns stay
 with ``remove``. Empty tables give no rows.
 """
 
@@ -86,7 +87,7 @@ def survivors(group: pa.Table) -> tuple[np.ndarray, np.ndarray, dict]:
     """Places and keys of a block's repeated windows, in order, and its own row."""
     slots, keys, extra = exchange.answered(group)
     if len(extra) != 1:
-        raise ValueError("a block came back in parts: its rows were read in another order")
+        raise ValueError("a block came back in parts: a repeated task read its rows in another order")
     own = extra[0]
     places = np.concatenate([slots.astype(np.int64) - 1, own.pop("places").astype(np.int64)])
     keys = np.concatenate([keys, own.pop("keys")])
@@ -136,7 +137,7 @@ def covered(answers: DataFrame, width: int) -> DataFrame:
 
 def repeats(docs: DataFrame, work: Workspace, width: int = WIDTH, base: int = BASE) -> DataFrame:
     """doc_id, check and spans of the documents with words that repeated windows cover."""
-    docs = exchange.keyed(docs)
+    docs = exchange.settled(exchange.keyed(docs), work)
     windows, n = exchange.extent(docs)
     size = min(base, width)
     rows = first_level(docs, n, size, LAST_BITS if size == width else bits(windows))
@@ -162,7 +163,7 @@ def bits(windows: int) -> int:
 def longest(docs: DataFrame, work: Workspace, base: int = BASE) -> list[tuple[int, int]]:
     """Doubles until no candidates survive: (length, documents with a window of
     that length that occurs again), for each length with any."""
-    docs = exchange.keyed(docs)
+    docs = exchange.settled(exchange.keyed(docs), work)
     (_, n), size, out = exchange.extent(docs), base, []
     rows = first_level(docs, n, size, LAST_BITS)
     while True:

@@ -14,7 +14,7 @@ from plain import contamination, dedup, personal, secrets as plain_secrets, sha,
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from readloom.llm import byte_bpe, decontaminate, exchange, jaccard, pii, pivots, secrets, separators, substrings, token_files, toxicity
+from readloom.llm import byte_bpe, decontaminate, exchange, heavy, jaccard, pii, pivots, secrets, separators, substrings, token_files, toxicity
 from readloom.llm.text import Texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, row string, score double, spans string, check string"
@@ -500,3 +500,47 @@ def test_texts_of_slices():
     texts = Texts(column)
     assert texts.data.tobytes() == "bé".encode() and texts.offsets.tolist() == [0, 0, 3, 3]
     assert base64.b64encode(texts.part(1, 2)[0].tobytes()) == base64.b64encode("bé".encode())
+
+
+def twice(spark, docs, folder, how):
+    """The whole table two times: in one frame, or as two equal files."""
+    if how == "frame":
+        return docs.unionAll(docs)
+    docs.coalesce(1).write.parquet(f"{folder}/t")
+    docs.coalesce(1).write.mode("append").parquet(f"{folder}/t")
+    return spark.read.parquet(f"{folder}/t")
+
+
+@pytest.mark.parametrize("how", ["frame", "files"])
+def test_the_whole_table_twice(spark, work, tmp_path, how):
+    texts = corpus(7)
+    docs = frame(spark, range(len(texts)), texts, 1)
+    both = twice(spark, docs, tmp_path, how)
+    got = substrings.remove(both, work, digest=True).select("row.doc_id", "n_words", "n_removed", "kept").collect()
+    want = dedup([*texts, *texts], 35)
+    assert sorted(tuple(r) for r in got) == sorted((i % len(texts), *w) for i, w in enumerate(want))
+    got = jaccard.classes(both, work).select("doc_id", "n_shingles", "component_id").collect()
+    want = similar_components(range(len(texts)), texts)
+    assert sorted(tuple(r) for r in got) == sorted([(i, *w) for i, w in enumerate(want)] * 2)
+
+
+def test_personal_data_in_long_runs(spark, work):
+    """Runs of a million characters that patterns walk through: no deep stack, no way back at every place."""
+    n = 10**6
+    texts = ["7" * n, "4111 " * 3000, "a@b" + ".c" * n, "x (at) y " + "." * n, "-" * n + " [at] z", "_" * n, "+1" + "." * n, "1." * (n // 10), "a" * n + "@", "a@" * 5000, "9-" * n]
+    got = by_id(pii.digest(pii.find(frame(spark, range(len(texts)), texts), work, ["doc_id"])).select("row.doc_id", "*"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    spans = {2: [f"email:0:{3 + 2 * n}"], 7: [f"ip:{8 * i}:{8 * i + 7}" for i in range(n // 40)]}
+    for i in range(len(texts)):
+        assert got[i] == (int(i == 2), n // 40 if i == 7 else 0, 0, 0, sha(",".join(spans.get(i, [])).encode())), i
+
+
+def test_lookup_of_heavy_keys(spark, monkeypatch):
+    """A left join, whichever keys are heavy, with rows without a key and keys that the table lacks."""
+    pairs = [(None, 1), *[(1, i) for i in range(300)], *[(k, k) for k in range(2, 40)], (99, 0), *[(98, i) for i in range(200)]]
+    rows = spark.createDataFrame(pairs, "k long, x long")
+    table = spark.createDataFrame([(k, k * 10) for k in range(1, 30)], "k long, v long")
+    want = sorted([(k, x, k * 10 if k and k < 30 else None) for k, x in pairs], key=str)
+    for bound in (1, 4, 4096):
+        monkeypatch.setattr(heavy, "HEAVY", bound)
+        few = heavy.heavy(rows.groupBy("k").agg(F.count("*").alias("n")), len(pairs))
+        assert sorted((tuple(r) for r in heavy.lookup(rows, table, ["k"], few).select("k", "x", "v").collect()), key=str) == want
