@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import byte_bpe, decontaminate, jaccard, pii, pivots, secrets, separators, substrings, token_files, toxicity
+from readloom.llm import byte_bpe, decontaminate, jaccard, periodic, pii, pivots, secrets, separators, substrings, token_files, toxicity, warc, whitening
 from readloom.llm.text import table
 from readloom.session import Workspace
 
@@ -69,11 +71,42 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, Workspace(spark))
+    found = whitening.whiten(vectors, model, keep=["vec_id"])
+    return found.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words that the contract has a tenth of the documents repeat from a place on; a null id has none."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    order = np.arange(n)
+    order[a:] = a + (order[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return order
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.digested(periodic.collapse(docs, keep=["doc_id"], digest=True, places=planted))
+    return found.select("row.doc_id", "*").drop("row")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(table(spark, sf_dir, "pages"), Workspace(spark))
+    found = warc.table_of(warc.read(files, with_data=False))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_orc, op2_substring_dedup, op3_decontamination, op4_secrets, op5_byte_bpe, op6_personal_data, op7_toxicity, op8_separator_scan,
-        op9_pivot_search, op10_jaccard_join,
+        op9_pivot_search, op10_jaccard_join, op11_whitening, op12_periodic_runs, op13_warc,
     )
 }
 
@@ -128,4 +161,14 @@ ORACLE: dict[str, str] = {
         reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
         SELECT doc_id, coalesce(max(n.n), 0) AS n_shingles, least(doc_id, min(b)) AS component_id
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY doc_id""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        h AS (SELECT page_id, t, strlen(t) AS n, sha1(t) AS d, max(page_id) OVER (PARTITION BY t) AS newest FROM p),
+        v AS (SELECT *, [('0x' || substr(d, 5 * g + 1, 5))::BIGINT FOR g IN range(8)] AS five FROM h),
+        b AS (SELECT *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (1 + ((five[1 + i // 4] >> (15 - 5 * (i % 4))) & 31))::BIGINT, 1)) AS letters FROM v)
+        SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+               CASE WHEN newest IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN newest IS DISTINCT FROM page_id THEN newest END AS refers_to, true AS verified
+        FROM b""",
 }

@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import SMALL
 from plain import contamination, secrets, similar_components
+from test_new_operators import plain_collapse
 
 import corpus_pipeline
 from readloom.llm import toxicity
@@ -28,15 +30,35 @@ def test_sql(spark, db, name):
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 0
     a, b = normal(got), normal(want)
     for column in a.columns:
-        assert a[column].astype(str).tolist() == b[column].astype(str).tolist(), column
+        if not a[column].isna().all() or not b[column].isna().all():  # columns without any value may have any kind
+            assert a[column].astype(str).tolist() == b[column].astype(str).tolist(), column
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE and n != "op11_whitening"])
 def test_one_row_per_document(spark, name):
     rows = QUERIES[name](spark, SMALL).select("doc_id").collect()
     assert sorted(r[0] for r in rows) == list(range(200))
 
 
+def test_whitening_query(spark):
+    """Four components a vector, white over the distinct vectors."""
+    got = QUERIES["op11_whitening"](spark, SMALL).toPandas()
+    assert len(got) == 4 * got["vec_id"].nunique() == 4 * 500 and set(got["component"]) == {1, 2, 3, 4}
+    white = got.pivot(index="vec_id", columns="component", values="whitened").to_numpy()
+    assert abs(white.T @ white / len(white) - np.eye(4)).max() < 1e-9 and got["identity_error"].max() < 1e-9
+    assert got.groupby("component")["explained"].max().is_monotonic_decreasing
+
+
+def test_periodic_query(spark):
+    """Against all periods of every text."""
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op12_periodic_runs"](spark, SMALL).collect()}
+    short = [i for i, t in texts.items() if len((t or "").split()) < 600]
+    assert set(got) == set(texts) and len(short) > 100 and any(got[i][0] for i in short)
+    for i in short:
+        assert got[i] == plain_collapse(i, texts[i]), i
+
+
 def test_pipeline(spark):
     """Every stage against its plain version, on what the stage before kept."""
     docs = table(spark, SMALL, "documents")
