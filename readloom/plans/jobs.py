@@ -14,6 +14,7 @@ from readloom.operators.chaining import chain_blocks
 from readloom.operators.consensus import consensus
 from readloom.operators.extension import drop_contained, to_overlaps
 from readloom.operators.ids import assign_volumes, dense_ids, merge_reads, with_offsets
+from readloom.operators.index import StoredIndex
 from readloom.operators.kmers import query_kmers, target_kmers
 from readloom.operators.seeds import find_seeds
 from readloom.operators.stats import length_report, length_stats, split_long
@@ -54,6 +55,11 @@ def seeds(reads: DataFrame, opts: MapOptions, targets: DataFrame | None = None)
     return find_seeds(queries, target_kmers(against, opts.kmer_size), opts.max_kmer_count, pairwise=targets is None)
 
 
+def store_index(targets: DataFrame, opts: MapOptions, path: str) -> StoredIndex:
+    """The k-mer index of separate targets as files, for reads that come later."""
+    return StoredIndex.build(undivided(targets), opts, path)
+
+
 def find_candidates(reads: DataFrame, opts: MapOptions = MapOptions()) -> DataFrame:
     """Candidate pairs of a read set, the best ``num_output`` per query and
     target volume."""
@@ -69,13 +75,16 @@ def find_overlaps(reads: DataFrame, opts: MapOptions = MapOptions()) -> DataFram
     return to_overlaps(drop_contained(aligned))
 
 
-def map_to_reference(reads: DataFrame, targets: DataFrame, opts: MapOptions = MapOptions()) -> DataFrame:
+def map_to_reference(
+    reads: DataFrame, targets: DataFrame, opts: MapOptions = MapOptions(), index: StoredIndex | None = None
+) -> DataFrame:
     """Aligned overlaps of reads with target sequences.
 
     Only the target stretch that the query can reach from the anchor travels
-    with a candidate, cut out of tiles of the target.
+    with a candidate, cut out of tiles of the target. A stored ``index`` of the targets
+    is used as it is.
     """
-    found = chain_blocks(seeds(reads, opts, targets), opts)
+    found = chain_blocks(seeds(reads, opts, targets) if index is None else index.seeds(reads, opts), opts)
     best = top_candidates(found, ["qid", "volume_id"], opts.num_candidates)
     placed = best.select("*", *[col.alias(name) for name, col in target_window().items()])
     query = reads.select(F.col("read_id").alias("qid"), F.col("seq").alias("__q"))
@@ -161,4 +170,5 @@ __all__ = [
     "read_sequences",
     "report_lengths",
     "split_long",
+    "store_index",
 ]

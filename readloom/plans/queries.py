@@ -23,7 +23,7 @@ from readloom.plans import inputs as inp
 from readloom.plans import jobs
 from readloom.session import Workspace
 from readloom.sources import records, sequences
-from readloom.streaming.mapping import stream_seeds
+from readloom.streaming.mapping import stream_files, stream_seeds
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -130,6 +130,10 @@ CTES = {
     "ref_table": "SELECT kmer, read_id AS sid, pos AS soff FROM ref_kmers WHERE kmer IN"
     f" (SELECT kmer FROM ref_kmers GROUP BY kmer HAVING count(*) <= {Q})",
     "ref_seeds": "SELECT qid, qdir, sid, qoff, soff FROM query_kmers JOIN ref_table USING (kmer)",
+    "ref_steps": "SELECT qid, qdir, sid, qsize, s.len AS ssize, qoff, soff, soff - lag(soff) OVER c AS ds, qoff - lag(qoff) OVER c AS dq"
+    " FROM query_kmers JOIN ref_table USING (kmer) JOIN refs s ON sid = s.read_id WINDOW c AS (" + _CHAIN + ")",
+    "ref_chains": f"SELECT *, sum(CASE WHEN ds IS NULL OR ds > 10000 OR abs(ds - dq) > 500 THEN 1 ELSE 0 END) OVER ({_CHAIN} ROWS"
+    " UNBOUNDED PRECEDING) AS chain, ds IS NULL OR ds > 10000 OR abs(ds - dq) > 500 AS brk FROM ref_steps",
     "block_rows": f"SELECT *, (sref + soff)::BIGINT // {BLOCK} AS block_id, sref + soff AS goff FROM seed_rows",
     "big_blocks": f"SELECT qid, qdir, block_id, count(*) AS n_seeds FROM block_rows GROUP BY ALL HAVING count(*) > {SCORE}",
     "big_rows": "SELECT block_rows.* FROM block_rows SEMI JOIN big_blocks USING (qid, qdir, block_id)",
@@ -252,14 +256,17 @@ def _fastq(spark: SparkSession, d: str) -> DataFrame:
     return sequences.read_sequences(spark, folder)
 
 
+FILES = 6  # of each format
+
+
 def _halves(spark: SparkSession, d: str, folder: str) -> None:
-    """A folder of an empty file, and the reads of even id as FASTA, the others as compressed FASTQ, each one file."""
+    """An empty folder, and the reads of even id as FASTA, the others as compressed FASTQ, in files by ranges of ids."""
     rows = inp.reads(spark, d)
-    fasta = rows.where("read_id % 2 = 0").select("read_id", F.concat(F.lit(">r"), "read_id", F.lit("\n"), "seq").alias("value"))
-    parts = [F.concat(F.lit("@r"), F.col("read_id")), F.col("seq"), F.lit("+"), F.expr("repeat('I', len)")]
-    fastq = rows.where("read_id % 2 = 1").select("read_id", F.concat_ws("\n", *parts).alias("value"))
-    for df, kind in ((fasta, "fa"), (fastq, "fq")):
-        df.orderBy("read_id").select("value").coalesce(1).write.text(f"{folder}/{kind}", compression="gzip" if kind == "fq" else None)
+    fasta = F.concat(F.lit(">r"), "read_id", F.lit("\n"), "seq")
+    fastq = F.concat_ws("\n", F.concat(F.lit("@r"), F.col("read_id")), F.col("seq"), F.lit("+"), F.expr("repeat('I', len)"))
+    for kind, half, value in (("fa", 0, fasta), ("fq", 1, fastq)):
+        ranges = rows.where(F.col("read_id") % 2 == half).repartitionByRange(FILES, "read_id").sortWithinPartitions("read_id")
+        ranges.select(value.alias("value")).write.text(f"{folder}/{kind}", compression="gzip" if half else None)
     spark.createDataFrame([], "value string").coalesce(1).write.text(f"{folder}/none")
 
 
@@ -272,18 +279,22 @@ def _listed(spark: SparkSession, d: str, read: Callable) -> DataFrame:
     return read(spark, sequences.list_paths(spark, f"{folder}/list"))
 
 
+CHUNK = 100  # reads in a file
+
+
 def _formats(spark: SparkSession, d: str) -> DataFrame:
-    """The format of each file of one folder, told file by file."""
+    """The format of each file of one folder, told file by file; every third one is compressed, every fifth has no read."""
     folder = Workspace(spark).path("mixed")
-    first = inp.reads(spark, d).orderBy("read_id").limit(1)
-    parts = {
-        "reads.fa": F.concat(F.lit(">r\n"), "seq"), "reads.fq": F.concat(F.lit("@r\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', len)")),
-    }
-    for name, value in parts.items():
-        first.select(value.alias("value")).coalesce(1).write.text(f"{folder}/{name}")
-    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{folder}/empty.fa")
-    found = [(path.rsplit("/", 2)[-2], kind) for path, kind in sequences.formats(spark, [f"{folder}/{n}" for n in (*parts, "empty.fa")])]
-    return spark.createDataFrame(found, "file string, kind string")
+    chunk, quality = F.expr(f"read_id div {CHUNK}"), F.expr("repeat('@', len)")
+    fasta = F.concat(F.lit(">r\n"), "seq")
+    fastq = F.concat_ws("\n", F.lit("@r"), "seq", F.lit("+"), quality)
+    value = F.when(F.col("chunk") % 5 == 4, F.lit("")).otherwise(F.when(F.col("chunk") % 2 == 0, fasta).otherwise(fastq))
+    rows = inp.reads(spark, d).withColumn("chunk", chunk)
+    for packed in (True, False):
+        some = rows.where((F.col("chunk") % 3 == 0) == F.lit(packed)).repartition("chunk")
+        some.select("chunk", value.alias("value")).write.partitionBy("chunk").mode("append").text(folder, compression="gzip" if packed else None)
+    found = [(int(re.search("chunk=([0-9]+)", path)[1]), kind) for path, kind in sequences.formats(spark, [folder])]
+    return spark.createDataFrame(found, "chunk long, kind string")
 
 
 def _candidate_files(format: str) -> Run:
@@ -417,6 +428,18 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(work.path("seeds"))
 
 
+def _stream_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Reads in files of both formats, a few files a batch, chained against a stored index of the targets."""
+    work = Workspace(spark)
+    _halves(spark, d, work.path("arriving"))
+    index = jobs.store_index(inp.targets(spark, d), inp.OPTS, work.path("index"))
+    chained = lambda reads: chaining.band_chains(index.seeds(reads, inp.OPTS), K, SCORE)
+    stream_files(spark, work.path("arriving"), chained, work.path("mapped"), work.path("progress"), FILES).awaitTermination()
+    names = spark.read.parquet(work.path("mapped/reads")).select(F.col("read_id").alias("qid"), "name")
+    found = spark.read.parquet(work.path("mapped/found")).join(names, "qid")
+    return found.withColumn("qid", F.regexp_extract("name", "^r([0-9]+)$", 1).cast("long"))
+
+
 def _ref_seeds(spark: SparkSession, d: str) -> DataFrame:
     return jobs.seeds(inp.reads(spark, d), inp.OPTS, inp.targets(spark, d))
 
@@ -438,9 +461,9 @@ QUERIES = [
           " sum(len) AS n_bases FROM placed GROUP BY 1"),
     Query("s2_file_list", "name:s seq:s", lambda s, d: _listed(s, d, sequences.read_sequences),
           "SELECT 'r' || read_id AS name, seq FROM reads"),
-    Query("s3_formats", "file:s kind:s", _formats,
-          "SELECT * FROM (VALUES ('empty.fa', 'empty'), ('reads.fa', 'fasta'), ('reads.fq', 'fastq')) v(file, kind)"
-          " WHERE EXISTS (SELECT 1 FROM reads)"),
+    Query("s3_formats", "chunk kind:s", _formats,
+          f"SELECT read_id // {CHUNK} AS chunk, CASE WHEN read_id // {CHUNK} % 5 = 4 THEN 'empty' WHEN read_id // {CHUNK} % 2 = 0"
+          " THEN 'fasta' ELSE 'fastq' END AS kind FROM reads GROUP BY ALL"),
     Query("p1_build_reads", "read_id len global_off digest:s", lambda s, d: _listed(
               s, d, lambda spark, paths: jobs.build_reads_from(spark, paths)
               .withColumns({"global_off": F.col("offset"), "digest": F.md5("seq")})),
@@ -686,5 +709,10 @@ QUERIES = [
               + [f"'N{p} stats:\t\t\t{p}% of total sequences are contained in the ' || format('{{:,}}', n{p}_cnt::BIGINT) ||"
                  f" ' sequences having >= ' || format('{{:,}}', n{p}_len::BIGINT) || ' bps'" for p in (25, 50, 75)]
           ) + "]) AS value FROM nxx"),
+    Query("x1_streamed_mapping", _CAND_COLS + " n_seeds", _stream_chains,
+          f"SELECT qid, sid, sum(CASE WHEN brk THEN 0 ELSE least(abs(dq), ds) END) AS score, qdir, min(qoff) AS qbeg, max(qoff) + {K}"
+          f" AS qend, max(qoff) + {K} AS qoff, qsize, 0 AS sdir, min(soff) AS sbeg, max(soff) + {K} AS send, max(soff) + {K} AS soff,"
+          f" ssize, count(*) AS n_seeds FROM ref_chains GROUP BY qid, qdir, sid, qsize, ssize, chain HAVING count(*) >= {SCORE}"
+          " AND sum(CASE WHEN brk THEN 0 ELSE least(abs(dq), ds) END) >= 100"),
     Query("x1_streamed_target_seeds", "qid qdir sid qoff soff", _streamed, "SELECT * FROM ref_seeds"),
 ]
