@@ -81,13 +81,13 @@ def test_index_is_not_moved(spark, work, targets, reads):
     """Equal seeds from the stored index, also in a session that only knows its path, and a plan that
     shuffles the queries alone."""
     want = rows(jobs.seeds(reads, OPTS, targets), *SEEDS)
-    stored = jobs.store_index(targets, OPTS, work.path("index"))
+    stored, stored_reads = jobs.store_index(targets, OPTS, work.path("index")), work.keep("reads", reads)
     for index in (stored, StoredIndex.open(spark, work.path("index"))):
         found = index.seeds(reads, OPTS)
         assert rows(found, *SEEDS) == want and len(want) > 100
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
         try:
-            plan = index.seeds(reads, OPTS)._jdf.queryExecution().executedPlan().toString()
+            plan = index.seeds(stored_reads, OPTS)._jdf.queryExecution().executedPlan().toString()
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         join = plan[plan.index("SortMergeJoin") :]
