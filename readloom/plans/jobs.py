@@ -12,7 +12,7 @@ from readloom.operators.alignment import align_pairs, attach_sequences, with_win
 from readloom.operators.candidates import mirror, top_candidates, with_partition
 from readloom.operators.chaining import chain_blocks
 from readloom.operators.consensus import consensus
-from readloom.operators.extension import drop_contained, to_overlaps
+from readloom.operators.extension import extend_in_rounds, to_overlaps
 from readloom.operators.ids import assign_volumes, dense_ids, merge_reads, with_offsets
 from readloom.operators.index import StoredIndex
 from readloom.operators.kmers import query_kmers, target_kmers
@@ -71,8 +71,11 @@ def find_overlaps(reads: DataFrame, opts: MapOptions = MapOptions()) -> DataFram
     """Aligned overlaps of a read set."""
     found = chain_blocks(seeds(reads, opts), opts)
     best = top_candidates(found, ["qid", "volume_id"], opts.num_candidates)
-    aligned = align_pairs(attach_sequences(best, reads), opts.error, opts.min_align_size)
-    return to_overlaps(drop_contained(aligned))
+
+    def align(some: DataFrame) -> DataFrame:
+        return align_pairs(attach_sequences(some, reads), opts.error, opts.min_align_size)
+
+    return to_overlaps(extend_in_rounds(best, align, Workspace(reads.sparkSession)))
 
 
 def map_to_reference(
@@ -86,22 +89,25 @@ def map_to_reference(
     """
     found = chain_blocks(seeds(reads, opts, targets) if index is None else index.seeds(reads, opts), opts)
     best = top_candidates(found, ["qid", "volume_id"], opts.num_candidates)
-    placed = best.select("*", *[col.alias(name) for name, col in target_window().items()])
     query = reads.select(F.col("read_id").alias("qid"), F.col("seq").alias("__q"))
-    cut = with_windows(placed, targets).join(query, "qid")
-    cut = cut.withColumn("qseq", on_strand(F.col("__q"), F.col("qdir"))).drop("__q")
-    local = cut.withColumn("anchor", F.col("soff")).withColumn("soff", F.col("srel"))
-    aligned = align_pairs(local, opts.error, opts.min_align_size)
-    placed = aligned.select(
-        *best.drop("soff").columns,
-        F.col("anchor").alias("soff"),
-        "a_qoff",
-        "a_qend",
-        (F.col("a_soff") + F.col("sfrom")).alias("a_soff"),
-        (F.col("a_send") + F.col("sfrom")).alias("a_send"),
-        "ident",
-    )
-    return to_overlaps(drop_contained(placed))
+
+    def align(some: DataFrame) -> DataFrame:
+        placed = some.select("*", *[col.alias(name) for name, col in target_window().items()])
+        cut = with_windows(placed, targets).join(query, "qid")
+        cut = cut.withColumn("qseq", on_strand(F.col("__q"), F.col("qdir"))).drop("__q")
+        local = cut.withColumn("anchor", F.col("soff")).withColumn("soff", F.col("srel"))
+        aligned = align_pairs(local, opts.error, opts.min_align_size)
+        return aligned.select(
+            *some.drop("soff").columns,
+            F.col("anchor").alias("soff"),
+            "a_qoff",
+            "a_qend",
+            (F.col("a_soff") + F.col("sfrom")).alias("a_soff"),
+            (F.col("a_send") + F.col("sfrom")).alias("a_send"),
+            "ident",
+        )
+
+    return to_overlaps(extend_in_rounds(best, align, Workspace(reads.sparkSession)))
 
 
 def mirror_partition(cands: DataFrame, opts: PartitionOptions = PartitionOptions()) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import sequence as seq
-from readloom.operators import blocks, candidates as cand, chaining, consensus as cns, ids, intervals, kmers, stats, tags
+from readloom.operators import blocks, candidates as cand, chaining, consensus as cns, extension, ids, intervals, kmers, stats, tags
 from readloom.operators import seeds as sd
 from readloom.operators.alignment import attach_sequences
 from readloom.plans import inputs as inp
@@ -51,7 +51,7 @@ class Query:
         out = ", ".join(casts[kind].format(col) + f" AS {col}" for col, kind in self._columns())
         needed = [name for name in CTES if name in _closure(self.sql)]
         heads = ",\n".join(f"{name} AS ({CTES[name]})" for name in needed)
-        return (f"WITH {heads}\n" if heads else "") + f"SELECT {out} FROM ({self.sql}) result"
+        return (f"WITH RECURSIVE {heads}\n" if heads else "") + f"SELECT {out} FROM ({self.sql}) result"
 
     def _columns(self) -> list[tuple[str, str]]:
         return [(c.partition(":")[0], c.partition(":")[2] or "i") for c in self.columns.split()]
@@ -152,6 +152,16 @@ CTES = {
     f" min(qoff) AS qbeg, max(qoff) + {K} AS qend, min(soff) AS sbeg, max(soff) + {K} AS send"
     f" FROM numbered GROUP BY ALL HAVING count(*) >= {SCORE} AND score >= 100",
     "cands": "SELECT *, qend AS qoff, send AS soff, 0 AS sdir FROM band",
+    "turns": f"SELECT {_CAND}, greatest(qbeg - 60, 0) AS a_qoff, least(qend + 60, qsize) AS a_qend, greatest(sbeg - 60, 0) AS a_soff,"
+    " least(send + 60, ssize) AS a_send, row_number() OVER (PARTITION BY qid, qdir, sid ORDER BY score DESC, qoff, soff, qbeg, sbeg)"
+    " AS turn FROM cands",
+    # One candidate of each pair a step, with the spans accepted before it.
+    "visits": "SELECT qid, qdir, sid, 0::BIGINT AS turn, []::STRUCT(turn BIGINT, q0 BIGINT, q1 BIGINT, s0 BIGINT, s1 BIGINT)[] AS kept"
+    " FROM turns WHERE turn = 1 UNION ALL SELECT v.qid, v.qdir, v.sid, t.turn, CASE WHEN a_qend - a_qoff < 180 OR len(list_filter("
+    "v.kept, lambda m: qoff BETWEEN m.q0 AND m.q1 AND soff BETWEEN m.s0 AND m.s1)) > 0 THEN v.kept ELSE list_append(v.kept,"
+    " {'turn': t.turn::BIGINT, 'q0': a_qoff::BIGINT, 'q1': a_qend::BIGINT, 's0': a_soff::BIGINT, 's1': a_send::BIGINT}) END"
+    " FROM visits v JOIN turns t ON t.qid = v.qid AND t.qdir = v.qdir AND t.sid = v.sid AND t.turn = v.turn + 1",
+    "visited": "SELECT qid, qdir, sid, unnest(arg_max(kept, turn)) AS m FROM visits GROUP BY qid, qdir, sid",
     "flipped": "SELECT sid AS qid, qid AS sid, score, CASE WHEN qdir = 1 THEN 1 - sdir ELSE sdir END AS qdir,"
     f" {_flip('s', 'beg')} AS qbeg, {_flip('s', 'end')} AS qend, {_flip('s', 'off')} AS qoff, ssize AS qsize, 0 AS sdir,"
     f" {_flip('q', 'beg')} AS sbeg, {_flip('q', 'end')} AS send, {_flip('q', 'off')} AS soff, qsize AS ssize FROM cands",
@@ -345,6 +355,20 @@ def _full(spark: SparkSession, d: str) -> DataFrame:
     return intervals.full_regions(spans, deep).withColumn("is_full", F.col("is_full").cast("int"))
 
 
+REACH = 60  # bases that the plain extension of a chain adds at both ends
+
+
+def _extended(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted extensions; a chain's span and some bases more stand for its alignment."""
+
+    def stretch(some: DataFrame) -> DataFrame:
+        ends = {"a_qoff": F.greatest(F.col("qbeg") - REACH, F.lit(0)), "a_qend": F.least(F.col("qend") + REACH, F.col("qsize")),
+                "a_soff": F.greatest(F.col("sbeg") - REACH, F.lit(0)), "a_send": F.least(F.col("send") + REACH, F.col("ssize"))}
+        return some.withColumns(ends).where(F.col("a_qend") - F.col("a_qoff") >= 3 * REACH)
+
+    return extension.extend_in_rounds(inp.candidates(spark, d), stretch, Workspace(spark))
+
+
 def _locate(spark: SparkSession, d: str) -> DataFrame:
     placed = kmers.kmers(inp.reads(spark, d).select("read_id", "offset", "seq"), K, Z)
     points = placed.select((F.col("offset") + F.col("pos")).alias("goff"))
@@ -685,6 +709,8 @@ QUERIES = [
     # Grouped operators and jobs
     Query("g4v_band_chains", _CAND_COLS + " n_seeds", inp.candidates_of, f"SELECT {_CAND}, n_seeds FROM cands"),
     Query("g4_chains", _CAND_COLS, lambda s, d: chaining.chain_pairs(inp.read_seeds(s, d), K, SCORE), None),
+    Query("g5_accepted_extensions", _CAND_COLS + " a_qoff a_qend a_soff a_send", _extended,
+          "SELECT t.* FROM turns t JOIN visited v ON t.qid = v.qid AND t.qdir = v.qdir AND t.sid = v.sid AND t.turn = v.m.turn"),
     Query("g3_aligned_pairs", "qid qdir sid qoff soff a_qoff a_qend a_soff a_send ident:d qaln:s taln:s", _aligned, None),
     Query("g6_target_cutoffs", "sid cutoff:d max_cov last_rank ssize", _cutoffs, None),
     Query("g7_selected_alignments", "sid rank qid qdir a_soff a_send ident:d qaln:s taln:s", _selected, None),
