@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The alphabet, its digit codes, and the complement.
@@ -155,6 +155,59 @@ def cigar_runs(ops: Column) -> Column:
     return F.when(n == 0, "").otherwise(F.array_join(runs, ""))
 
 
+def running_sums(values: Column) -> Column:
+    """Sum of all values before each one, of an array column of whole numbers.
+
+    Sums are taken in blocks of about the root of the size, since an array
+    that grows is copied at every step. Pass a column of the input.
+    """
+    n = F.size(values)
+    block = F.greatest(F.lit(8), F.ceil(F.sqrt(n)).cast("int"))
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / block).cast("int"))
+
+    def part(k: Column) -> Column:
+        return F.slice(values, k * block + 1, block)
+
+    def sums(of: Column, start: Column) -> Column:
+        return F.aggregate(of, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    zero = F.lit(0).cast("long")
+    totals = F.transform(blocks, lambda k: F.aggregate(part(k), zero, lambda a, x: a + x))
+    starts = F.arrays_zip(blocks.alias("k"), F.slice(sums(totals, zero), 1, F.size(blocks)).alias("base"))
+    return F.flatten(F.transform(starts, lambda s: F.slice(sums(part(s["k"]), s["base"]), 1, F.size(part(s["k"])))))
+
+
+def with_aligned_strings(df: DataFrame, cigar: str, query: str, target: str) -> DataFrame:
+    """Add ``qaln`` and ``taln``, the two sequences with their gaps as the
+    run-length text says, and ``q_used`` and ``t_used``, how much of each it takes.
+
+    Both forms are read: M, I and D, or =, X, I and D. A null text gives nulls, an
+    empty one empty strings. A text of another form, or one that takes more than
+    there is of a sequence, is an error.
+    """
+    runs = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDX=])"), F.lit(1))
+    kinds = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDX=])"), F.lit(2))
+    takes = lambda gap: lambda n, op: F.when(op == gap, F.lit(0)).otherwise(n).cast("long")
+    df = df.withColumns({"__n": F.transform(runs, lambda n: n.cast("long")), "__op": kinds})
+    df = df.withColumns({"__q": F.zip_with("__n", "__op", takes("D")), "__t": F.zip_with("__n", "__op", takes("I"))})
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    df = df.withColumns({"__qo": running_sums(F.col("__q")), "__to": running_sums(F.col("__t")), "q_used": total("__q"), "t_used": total("__t")})
+    fine = F.col(cigar).rlike("^(?:[0-9]+[MIDX=])*+$") & (F.col("q_used") <= F.length(query)) & (F.col("t_used") <= F.length(target))
+    message = F.concat(F.lit("not a text of this alignment: "), F.substring(cigar, 1, 60))
+
+    def aligned(sequence: str, offsets: str, gap: str) -> Column:
+        letters = F.col(sequence).cast("binary")  # a slice of bytes costs its own length, wherever it lies
+        rows = F.arrays_zip(F.col("__n").alias("n"), F.col("__op").alias("op"), F.col(offsets).alias("o"))
+        piece = lambda x: F.when(x["op"] == gap, F.repeat(F.lit(GAP), x["n"].cast("int"))).otherwise(
+            F.substring(letters, (x["o"] + 1).cast("int"), x["n"].cast("int")).cast("string")
+        )
+        joined = F.array_join(F.transform(rows, piece), "")
+        return F.when(F.col(cigar).isNull(), None).when(fine, joined).otherwise(F.raise_error(message))
+
+    df = df.withColumns({"qaln": aligned(query, "__qo", "D"), "taln": aligned(target, "__to", "I")})
+    return df.drop("__n", "__op", "__q", "__t", "__qo", "__to")
+
+
 def fasta_header(id_: Column, org_size: Column, left: Column, right: Column, seq: Column) -> Column:
     return F.format_string(">%d_%d_%d_%d_%d", id_, org_size, left, right, F.length(seq))
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.session import Workspace
+
 BUCKET_BITS = 16
 
 
@@ -82,6 +84,45 @@ def assign_volumes(reads: DataFrame, limit: int) -> DataFrame:
     return reads.withColumn("volume_id", F.expr(f"offset div {int(limit)}"))
 
 
+def greedy_volumes(reads: DataFrame, limit: int, work: Workspace) -> DataFrame:
+    """Add ``volume_id``: a volume is closed by the read with which it reaches ``limit`` bases.
+
+    Needs dense read_id, len and offset. Where a volume starts depends on all
+    before it, so every read is taken as a start: the read that would close its
+    volume is the first whose end lies ``limit`` bases on, found by one sorted pass
+    over starts and ends within blocks of ``limit`` bases. Pointers from each start to
+    the next are then doubled, and the starts that the first read leads to are marked,
+    twice as many in each round. There are no more than one for each ``limit`` bases.
+    """
+    place = lambda pos: F.floor(F.col(pos) / limit)
+    ends = reads.select((F.col("offset") + F.col("len")).alias("pos"), F.lit(1).alias("kind"), "read_id")
+    goals = reads.select((F.col("offset") + limit).alias("pos"), F.lit(0).alias("kind"), "read_id")
+    both = goals.unionAll(ends).withColumn("block", place("pos"))
+    ahead = Window.partitionBy("block").orderBy("pos", "kind", "read_id").rowsBetween(0, Window.unboundedFollowing)
+    closing = F.first(F.when(F.col("kind") == 1, F.col("read_id")), ignorenulls=True)
+    found = both.withColumn("closing", closing.over(ahead)).where("kind = 0").select("read_id", "block", "closing")
+    # The first end of a later block, for starts that no end of their block closes. One row for each block.
+    later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    first = both.groupBy("block").agg(F.min(F.when(F.col("kind") == 1, F.struct("pos", "read_id"))).alias("end"))
+    first = first.select("block", F.first("end.read_id", ignorenulls=True).over(later).alias("next_end"))
+    step = found.join(first, "block").select("read_id", (F.coalesce("closing", "next_end") + 1).alias("next"))
+    step = work.keep("steps_0", step.join(reads.select(F.col("read_id").alias("next")), "next").select("read_id", "next"))
+    starts = work.keep("starts_0", reads.where("read_id = 0").select("read_id"))
+    number = 0
+    while True:
+        number += 1
+        more = work.keep(f"more_{number}", starts.join(step, "read_id").select(F.col("next").alias("read_id")))
+        if more.isEmpty():
+            break
+        starts = work.keep(f"starts_{number}", starts.unionAll(more))
+        second = step.select(F.col("read_id").alias("next"), F.col("next").alias("after"))
+        step = work.keep(f"steps_{number}", step.join(second, "next").select("read_id", F.col("after").alias("next")))
+    marked = reads.join(starts.withColumn("__first", F.lit(1)), "read_id", "left").withColumn("__first", F.coalesce("__first", F.lit(0)))
+    marked = work.keep("marked", marked)
+    total = running_total(marked, F.col("__first"), [F.col("read_id")], [(id_bucket(F.col("read_id")), True)], "__v")
+    return total.select(*reads.columns, (F.col("__v") - 1).alias("volume_id"))
+
+
 def volume_catalog(reads: DataFrame) -> DataFrame:
     return reads.groupBy("volume_id").agg(
         F.min("read_id").alias("read_start_id"),

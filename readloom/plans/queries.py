@@ -114,6 +114,11 @@ _TAG = "t_pos, delta, q_base, p_t_pos, p_delta, p_q_base"
 CTES = {
     "reads": _project("documents", "doc_id", "text"),
     "placed": "SELECT *, sum(len) OVER (ORDER BY read_id) - len AS goff0 FROM reads",
+    "next_starts": "SELECT a.read_id, min(b.read_id) + 1 AS next FROM placed a JOIN placed b ON b.goff0 + b.len >= a.goff0 + 50000"
+    " GROUP BY a.read_id",
+    "volume_walk": "SELECT 0::BIGINT AS volume_id, min(read_id)::BIGINT AS start FROM placed UNION ALL"
+    " SELECT w.volume_id + 1, n.next::BIGINT FROM volume_walk w JOIN next_starts n ON n.read_id = w.start",
+    "volume_starts": "SELECT volume_id, start, lead(start, 1, (SELECT count(*) FROM placed)) OVER (ORDER BY volume_id) AS stop FROM volume_walk",
     "refs": _project("benchmark", "item_id", "text"),
     "placed_refs": "SELECT *, sum(len) OVER (ORDER BY read_id) - len AS goff0 FROM refs",
     "all_kmers": _slices("placed", "read_id, goff0, len", "pos", 1),
@@ -398,6 +403,15 @@ def _cigars(spark: SparkSession, d: str) -> DataFrame:
     return ops.select("aln_id", seq.cigar_runs(F.col("plain")).alias("cigar"), seq.cigar_runs(F.col("full")).alias("extended"))
 
 
+def _restored(spark: SparkSession, d: str) -> DataFrame:
+    """Aligned strings again, from the run-length texts of both forms and the sequences without gaps."""
+    pairs = inp.alignments(spark, d)
+    texts = _cigars(spark, d).select("aln_id", F.posexplode(F.array("cigar", "extended")).alias("is_full", "cigar"))
+    bare = pairs.select("aln_id", F.regexp_replace("qaln", "-", "").alias("q"), F.regexp_replace("taln", "-", "").alias("t"))
+    back = seq.with_aligned_strings(texts.join(bare, "aln_id"), "cigar", "q", "t")
+    return back.withColumns({"q_md5": F.md5("qaln"), "t_md5": F.md5("taln")})
+
+
 def _next_reads(spark: SparkSession, d: str) -> DataFrame:
     merged = ids.merge_reads(inp.pieces(spark, d), inp.rests(spark, d), order=("id", "left"))
     return merged.withColumn("digest", F.md5("seq"))
@@ -483,6 +497,10 @@ QUERIES = [
     Query("s5_volumes", "volume_id read_start_id read_count n_bases", _volumes,
           "SELECT goff0::BIGINT // 50000 AS volume_id, min(read_id) AS read_start_id, count(*) AS read_count,"
           " sum(len) AS n_bases FROM placed GROUP BY 1"),
+    Query("s5_greedy_volumes", "volume_id read_start_id read_count n_bases",
+          lambda s, d: ids.volume_catalog(ids.greedy_volumes(inp.reads(s, d), 50_000, Workspace(s))),
+          "SELECT volume_id, start AS read_start_id, count(*) AS read_count, sum(len) AS n_bases FROM volume_starts v JOIN placed p"
+          " ON p.read_id >= start AND p.read_id < stop GROUP BY ALL"),
     Query("s2_file_list", "name:s seq:s", lambda s, d: _listed(s, d, sequences.read_sequences),
           "SELECT 'r' || read_id AS name, seq FROM reads"),
     Query("s3_formats", "chunk kind:s", _formats,
@@ -580,6 +598,9 @@ QUERIES = [
           " (SELECT aln_id, pos, 'p' AS k, CASE WHEN t = '-' THEN 'I' WHEN q = '-' THEN 'D' ELSE 'M' END AS op FROM aln_cols"
           " UNION ALL SELECT aln_id, pos, 'e' AS k, CASE WHEN t = '-' THEN 'I' WHEN q = '-' THEN 'D' WHEN q = t THEN '='"
           " ELSE 'X' END AS op FROM aln_cols)) GROUP BY aln_id, k, op, run) GROUP BY aln_id, k) GROUP BY aln_id"),
+    Query("f24_aligned_strings", "aln_id is_full q_used t_used q_md5:s t_md5:s", _restored,
+          "SELECT aln_id, is_full, length(replace(qaln, '-', '')) AS q_used, length(replace(taln, '-', '')) AS t_used, md5(qaln) AS"
+          " q_md5, md5(taln) AS t_md5 FROM aln, (SELECT unnest([0, 1]) AS is_full) f"),
     # Joins
     Query("j1_seed_self_join", "qid qdir sid qoff soff", inp.read_seeds, "SELECT qid, qdir, sid, qoff, soff FROM seed_rows"),
     Query("j1_pairs_by_seed_count", "qid qdir sid n_seeds sbeg last_soff",
