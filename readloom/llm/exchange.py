@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.text import ByteClass, Texts, join_hashes, small_batches
+from readloom.llm.text import ByteClass, Texts, give_back, join_hashes, small_batches
 from readloom.session import Workspace
 
 ROWS = "bucket int, block long, keys binary, slots binary, extra binary"
@@ -100,6 +100,7 @@ class Bucket:
     """The rows that one bucket got, keys end to end."""
 
     def __init__(self, group: pa.Table):
+        give_back()  # what the group before took
         own = pa.compute.is_null(group.column("keys"))
         self.passing, group = group.filter(own), group.filter(pa.compute.invert(own))
         self.blocks = group.column("block").to_pylist()
@@ -128,6 +129,7 @@ class Bucket:
 
 def answered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[dict]]:
     """What a block got: slots, their values, and the contents of its own rows."""
+    give_back()  # what the group before took
     values, slots, extra = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
     for k, s, e in zip(group.column("keys"), group.column("slots"), group.column("extra"), strict=True):
         if e.is_valid:
@@ -188,7 +190,7 @@ def blocks(docs: DataFrame, kind: ByteClass, send: Callable[..., pa.Table]) -> D
         if held:
             yield from flush()
         held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(run, ROWS)
 

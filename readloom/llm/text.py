@@ -7,6 +7,7 @@ than that makes a larger block, and its cost stays in proportion to its length.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -41,6 +42,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH)
 
 
+def give_back() -> None:
+    """Return memory that is free to the system. Worker processes live on and hold
+    it while other steps run beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Texts:
     """Texts end to end: ``data`` bytes, ``offsets`` of n + 1 boundaries. A null text is empty."""
 
@@ -209,6 +219,7 @@ def append(
                     names=["row", *arrow.names],
                 )
                 at = to
+        give_back()
 
     return source.mapInArrow(run, out)
 

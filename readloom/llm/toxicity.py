@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.text import Texts, append, small_batches
+from readloom.llm.text import Texts, append, give_back, small_batches
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -200,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_each: dict[int, int] = MAX_EACH)
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id")
         model = train(group["text"].tolist(), group["toxic"].to_numpy(), every)
+        give_back()
         packed = (model.feature.astype("<i4").tobytes(), model.weight.astype("<f4").tobytes())
         return pd.DataFrame([[model.intercept, *packed]], columns=["intercept", "feature", "weight"])
 
