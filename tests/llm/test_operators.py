@@ -14,7 +14,7 @@ from plain import contamination, dedup, personal, secrets as plain_secrets, sha,
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from readloom.llm import byte_bpe, decontaminate, exchange, heavy, jaccard, pii, pivots, secrets, separators, substrings, token_files, toxicity
+from readloom.llm import byte_bpe, components, decontaminate, exchange, heavy, jaccard, pii, pivots, secrets, separators, substrings, token_files, toxicity
 from readloom.llm.text import Texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, row string, score double, spans string, check string"
@@ -544,3 +544,15 @@ def test_lookup_of_heavy_keys(spark, monkeypatch):
         monkeypatch.setattr(heavy, "HEAVY", bound)
         few = heavy.heavy(rows.groupBy("k").agg(F.count("*").alias("n")), len(pairs))
         assert sorted((tuple(r) for r in heavy.lookup(rows, table, ["k"], few).select("k", "x", "v").collect()), key=str) == want
+
+
+@pytest.mark.parametrize("many", [0, 10**4])
+def test_components_with_hubs(spark, work, monkeypatch, many):
+    """A star, a chain and pairs, with and without heavy keys."""
+    monkeypatch.setattr(components, "MANY", many)
+    monkeypatch.setattr(heavy, "HEAVY", 4)
+    star, chain, pairs = [(500, i) for i in range(100)], [(i, i + 1) for i in range(600, 640)], [(2 * i, 2 * i + 1) for i in range(400, 420)]
+    links = spark.createDataFrame(star + chain + pairs, "a long, b long")
+    got = {r["node"]: r["component"] for r in components.components(links, work, "c").collect()}
+    want = {**dict.fromkeys([*range(100), 500], 0), **dict.fromkeys(range(600, 641), 600), **{n: n // 2 * 2 for n in range(800, 840)}}
+    assert got == want
