@@ -52,7 +52,6 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.spines: dict[bytes, tuple] = {}
-        self.beside: dict[tuple[bytes, bytes], bool] = {}
 
     def merged(self, text: bytes) -> list[bytes]:
         """The merges one by one, for single tokens only."""
@@ -87,10 +86,7 @@ class Merges:
 
     def side_by_side(self, one: bytes, two: bytes) -> bool:
         """Whether no merge crosses the bound between the two tokens."""
-        known = self.beside.get((one, two))
-        if known is None:
-            known = self.beside[one, two] = self._apart(self.spine(one)[1], self.spine(two)[2])
-        return known
+        return self._apart(self.spine(one)[1], self.spine(two)[2])
 
     def _apart(self, right: list, left: list) -> bool:
         i = j = 0
