@@ -32,13 +32,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from readloom.llm import pieces
-from readloom.llm.text import Texts, append, process_cache, ragged
+from readloom.llm.text import Texts, append, give_back, process_cache, ragged
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LOW = (1 << 32) - 1
 MOST_STATES = 400_000  # moves of the transducer, which is then built anew
 LOOKAHEAD = 4096  # bytes of one match after which shared tokens are emitted
 BLOCK_TOKENS = 1 << 16
+TEXT_BLOCK = 1 << 20  # bytes of texts that are encoded together, or one text
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -354,10 +355,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None
 
     def kernel(texts: Texts) -> list[pa.Array]:
         own, flat, counts = codec(vocabulary), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for first, last in texts.blocks():
+        for first, last in texts.blocks(TEXT_BLOCK):
             ids, sizes = own.encode(*texts.part(first, last))
             flat.append(ids)
             counts.append(sizes)
+            give_back()
         return [ragged(np.concatenate(flat).astype(np.int32), np.concatenate(counts))]
 
     return append(docs, kernel, "ids array<int>", keep=keep)
@@ -369,13 +371,14 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] |
 
     def kernel(texts: Texts) -> list[pa.Array]:
         own, rows = codec(vocabulary), []
-        for first, last in texts.blocks():
+        for first, last in texts.blocks(TEXT_BLOCK):
             ids, sizes = own.encode(*texts.part(first, last))
             edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 back = own.decode(ids[a:b]).encode()
                 data = ids[a:b].astype("<u4").tobytes()
                 rows.append((b - a, hashlib.sha256(data).hexdigest(), hashlib.sha256(back).hexdigest(), data if with_ids else None))
+            give_back()
         kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
         return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)][: 4 if with_ids else 3]
 

@@ -106,9 +106,8 @@ class Table:
             slots = np.arange(len(self.begin), len(self.begin) + len(new), dtype=np.int32)
             self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
             self.ids = np.concatenate([self.ids, *new]) if new else self.ids
-            known, slot = np.concatenate([self.known, distinct[missing]]), np.concatenate([self.slot, slots])
-            by_key = np.argsort(known)
-            self.known, self.slot = known[by_key], slot[by_key]
+            at = np.searchsorted(self.known, distinct[missing])
+            self.known, self.slot = np.insert(self.known, at, distinct[missing]), np.insert(self.slot, at, slots)
             place = np.searchsorted(self.known, distinct)
         of = np.empty(len(key), np.int32)
         of[order] = self.slot[place][np.cumsum(fresh) - 1]
