@@ -12,8 +12,8 @@ Distinct pieces of the texts are encoded once (``pieces``): single spaces and
 line feeds between others, and stops after letters, are bounds of matches. Texts
 with other white space are matched as a whole.
 
-Decoding reads ids in blocks. Its state is the incomplete character at the end
-of the bytes so far; each token moves it. Malformed bytes give U+FFFD.
+Decoding reads ids in blocks through a state machine of UTF-8, which carries the
+open character from token to token and block to block. Malformed bytes give U+FFFD.
 
 Defined results: a null or empty text has no ids and decodes to nothing.
 Repeated rows get equal results; extra columns stay inside ``row``.
@@ -213,6 +213,49 @@ class Transducer:
         return ends[shared:]
 
 
+#: Lead bytes of UTF-8 (first, last), the number of bytes that follow, and the range of the first of them.
+LEADS = (
+    [(0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F)]
+    + [(0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F)]
+)
+FOLLOWS = {byte: rest for first, last, *rest in LEADS for byte in range(first, last + 1)}
+BAD = "\ufffd"
+
+
+class Utf8:
+    """UTF-8 as a state machine, byte by byte: how many bytes of the open
+    character are still to come, the range of the next one, and the bits so far."""
+
+    def __init__(self) -> None:
+        self.need = self.low = self.high = self.point = 0
+
+    def feed(self, data: bytes) -> str:
+        """The characters that end in ``data``. A byte that can't go on with the
+        open character ends it as U+FFFD and is looked at anew."""
+        out = []
+        for byte in data:
+            if self.need and self.low <= byte <= self.high:
+                self.need -= 1
+                self.low, self.high, self.point = 0x80, 0xBF, self.point << 6 | byte & 0x3F
+                if not self.need:
+                    out.append(chr(self.point))
+                continue
+            out.append(self.end())
+            if byte < 0x80:
+                out.append(chr(byte))
+            elif byte in FOLLOWS:
+                self.need, self.low, self.high = FOLLOWS[byte]
+                self.point = byte & 0x3F >> self.need
+            else:
+                out.append(BAD)
+        return "".join(out)
+
+    def end(self) -> str:
+        """What an open character leaves when nothing goes on with it."""
+        self.need, was = 0, self.need
+        return BAD if was else ""
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, kept by the worker process."""
 
@@ -301,50 +344,26 @@ class Codec:
         return odd
 
     def stream(self, blocks: Iterable[np.ndarray]) -> Iterator[str]:
-        """Text of each block of ids; an incomplete character waits for the next."""
-        waiting = b""
+        """Text of each block of ids; an incomplete character waits for the next.
+        Only tokens that are not whole characters move the machine."""
+        machine = Utf8()
         for ids in blocks:
-            spelled = b"".join([self.tokens[i] for i in ids.tolist()])
-            if not waiting and self.whole[ids].all():
-                yield spelled.decode()
-                continue
-            text, waiting = advance(waiting, spelled)
-            yield text
-        if waiting:
-            yield "�"
+            parts, at = [], 0
+            for place in np.flatnonzero(~self.whole[ids]).tolist():
+                parts += [self._between(machine, ids[at:place]), machine.feed(self.tokens[ids[place]])]
+                at = place + 1
+            yield "".join(parts) + self._between(machine, ids[at:])
+        yield machine.end()
+
+    def _between(self, machine: Utf8, ids: np.ndarray) -> str:
+        """Text of tokens that are whole characters. The first of their bytes
+        continues no character, so one that is open ends there."""
+        return machine.end() + b"".join([self.tokens[i] for i in ids.tolist()]).decode() if len(ids) else ""
 
     def decode(self, ids: np.ndarray) -> str:
         return "".join(self.stream(ids[i : i + BLOCK_TOKENS] for i in range(0, len(ids), BLOCK_TOKENS)))
 
 
-#: For each lead byte of UTF-8, the bytes that follow and the range of the first of them.
-LEADS = (
-    [(0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F)]
-    + [(0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F)]
-)
-
-
-def _lead(byte: int) -> tuple[int, int, int] | None:
-    return next(((n, a, b) for low, high, n, a, b in LEADS if low <= byte <= high), None)
-
-
-def advance(waiting: bytes, more: bytes) -> tuple[str, bytes]:
-    """One step of the decoder: the text of all characters that end in ``more``,
-    and the bytes of the one that does not end yet."""
-    data = waiting + more
-    # Only the last character can be incomplete; look back for its lead byte.
-    cut = len(data)
-    for back in range(1, min(3, len(data)) + 1):
-        byte = data[-back]
-        if byte & 0xC0 == 0x80:
-            continue
-        lead = _lead(byte)
-        if lead and back <= lead[0] and (back == 1 or lead[1] <= data[-back + 1] <= lead[2]):
-            cut = len(data) - back
-        break
-    return data[:cut].decode("utf-8", "replace"), data[cut:]
-
-
 def codec(vocabulary: str) -> Codec:
     path = public_tokenizers.path(vocabulary)
     return process_cache(f"codec {path}", lambda: Codec(path, public_tokenizers.PATTERN))
