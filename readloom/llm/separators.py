@@ -13,6 +13,7 @@ any separator, of a document longer than a block, pass the total on.
 Defined results: a document of no ids counts its end id alone. Ids after the
 last separator of a file are a document that is not closed, reported with
 closed = false. Rows without separator or files without ids give no documents.
+An id past 65,535 is an error.
 """
 
 from __future__ import annotations
@@ -54,11 +55,16 @@ def flat_files(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, bl
             texts, doc_ids = Texts(batch.column("text")), batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, last in texts.blocks():
                 ids, sizes = own.encode(*texts.part(first, last))
-                waiting += np.insert(ids, np.cumsum(sizes), end).astype("<u2").tobytes()
+                ids = np.insert(ids, np.cumsum(sizes), end)
+                if ids.max(initial=0) > 0xFFFF:
+                    raise ValueError("an id of this vocabulary does not fit 16 bits")
+                waiting += ids.astype("<u2").tobytes()
                 names += doc_ids[first:last].astype("<i8").tobytes()
-                while len(waiting) >= 2 * block:
-                    yield row(waiting[: 2 * block], names)
-                    waiting, names, number = waiting[2 * block :], b"", number + 1
+                full = len(waiting) // (2 * block) * 2 * block
+                for at in range(0, full, 2 * block):
+                    yield row(waiting[at : at + 2 * block], names)
+                    names, number = b"", number + 1
+                waiting = waiting[full:]
         if waiting:
             yield row(waiting, names)
 

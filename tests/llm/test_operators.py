@@ -256,6 +256,11 @@ def test_token_files(spark, work):
     assert token_files.counts(spark, work.path("none"), work).count() == 0
 
 
+def test_flat_files_refuse_wide_ids(spark):
+    with pytest.raises(Exception, match="does not fit 16 bits"):
+        separators.flat_files(frame(spark, [1], ["a b"]), end=1 << 16).count()
+
+
 @pytest.mark.parametrize("block", [1, 3, 50, 1 << 14])
 def test_separator_scan(spark, work, block):
     texts = messy(3)[:60] + ["word " * 400]
