@@ -113,3 +113,14 @@ def test_stored_reads_are_dealt_in_runs(spark):
     dealt = in_runs(df)
     assert dealt.rdd.getNumPartitions() > 1 and dealt.count() == 5000
     assert kmers(dealt, 1).count() == 5000
+
+
+def test_queries_that_no_target_has_make_no_rows(reads):
+    index = spark_index(reads)
+    found = packed.slots(index, K)
+    assert rows(packed.met_queries(reads, K, 1, found).join(index, "kmer")) == rows(query_kmers(reads, K, 1).select("qid", "qsize", "qdir", "qoff", "kmer").join(index, "kmer").select("kmer", "qid", "qsize", "qdir", "qoff", "sid"))
+    assert packed.met_queries(reads, K, 1, found).count() < query_kmers(reads, K, 1).count()
+
+
+def spark_index(reads):
+    return kmers(reads.where("read_id < 3").select(reads.read_id.alias("sid"), "seq"), K).select("kmer", "sid").distinct()
