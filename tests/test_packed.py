@@ -8,9 +8,11 @@ import pytest
 from conftest import random_bases, rows, text
 
 from readloom.operators import packed, tags
+from readloom.operators.blocks import block_scores
+from readloom.operators.chaining import band_chains, seed_steps
 from readloom.operators.kmers import kmer_index, kmers, query_kmers, target_kmers
-from readloom.operators.seeds import find_seeds
-from readloom.options import MapOptions
+from readloom.operators.seeds import find_seeds, with_blocks
+from readloom.options import ChainOptions, MapOptions
 from readloom.plans import jobs
 from readloom.session import in_runs
 
@@ -83,6 +85,62 @@ def test_seeds(reads, monkeypatch, volume, hot):
     assert sorted(got.columns) == columns and rows(got, *columns) == rows(want, *columns)
 
 
+@pytest.mark.parametrize("order", [packed.BY_TARGET, packed.BY_BLOCK, packed.BY_VOLUME])
+@pytest.mark.parametrize("volume", [10**9, 700])
+def test_gathered_seeds(reads, monkeypatch, order, volume):
+    monkeypatch.setattr(packed, "PACK", 50)
+    placed = jobs.placed_targets(reads, volume)
+    want = packed.self_seeds(placed, K, 3, 20)
+    got = packed.gathered_seeds(placed, K, 3, 20, order)
+    columns = [c for c in want.columns if c != "sref" or order != packed.BY_TARGET]
+    assert got.columns == want.columns and rows(got, *columns) == rows(want, *columns)
+    keys = [{"goff": "sref + soff"}.get(c, c) for c in order]
+    parts = got.selectExpr("spark_partition_id() AS part", *keys).toPandas()
+    here = parts.drop_duplicates(["part", "qid"])
+    assert here["qid"].is_unique
+    # The groups that operators cut partitions into are whole and in order.
+    group = list(order)[:-2]
+    starts = (parts[group] != parts[group].shift()).any(axis=1)
+    assert not parts[group][starts].duplicated().any()
+    by = parts.groupby(group, sort=False)
+    places = list(parts.columns[-2:])
+    assert all([tuple(r) for r in g[places].to_numpy()] == sorted(tuple(r) for r in g[places].to_numpy()) for _, g in by)
+
+
+def test_operators_take_gathered_seeds(reads):
+    """Chains, steps and anchors are the same, and no row is shuffled for a seed."""
+    placed = jobs.placed_targets(reads, 10**9)
+    plain = packed.self_seeds(placed, K, 3, 20)
+    by_target, by_block = (packed.gathered_seeds(placed, K, 3, 20, order) for order in (packed.BY_TARGET, packed.BY_BLOCK))
+    opts = ChainOptions(min_score=20)
+    pairs = [
+        (band_chains(plain, K, 3, opts), band_chains(by_target, K, 3, opts, gathered=True)),
+        (seed_steps(plain), seed_steps(by_target, gathered=True)),
+        (block_scores(with_blocks(plain, 100), 3, 0.25), block_scores(with_blocks(by_block, 100), 3, 0.25, gathered=True)),
+    ]
+    for want, got in pairs:
+        assert rows(got) == rows(want) and want.count() > 0
+        exchanges = got._jdf.queryExecution().executedPlan().toString()
+        # Two of packed rows; the reads are cached.
+        assert exchanges.split("InMemoryTableScan")[0].count("Exchange hashpartitioning(bucket") == 2
+        assert exchanges.split("InMemoryTableScan")[0].count("Exchange ") == 2
+
+
+def test_band_chains_are_those_of_windows(reads):
+    """Against the running sums in SQL, ties and breaks included."""
+    seeds_ = packed.self_seeds(jobs.placed_targets(reads, 10**9), K, 3, 20)
+    seeds_.createOrReplaceTempView("found_seeds")
+    want = seeds_.sparkSession.sql(
+        "WITH s AS (SELECT *, soff - lag(soff) OVER w AS ds, qoff - lag(qoff) OVER w AS dq FROM found_seeds"
+        " WINDOW w AS (PARTITION BY qid, qdir, sid ORDER BY soff, qoff)), b AS (SELECT *, CASE WHEN ds IS NULL OR ds > 40 OR abs(ds - dq)"
+        " > 5 THEN 1 ELSE 0 END AS brk FROM s), c AS (SELECT *, sum(brk) OVER (PARTITION BY qid, qdir, sid ORDER BY soff, qoff"
+        " ROWS UNBOUNDED PRECEDING) AS chain FROM b) SELECT qid, qdir, sid, min(qoff) AS qbeg, max(soff) + 7 AS send,"
+        " sum(CASE WHEN brk = 1 THEN 0 ELSE least(abs(dq), ds) END) AS score, count(*) AS n_seeds FROM c GROUP BY qid, qdir, sid, chain"
+    ).where("n_seeds >= 2 AND score >= 10")
+    got = band_chains(seeds_, K, 2, ChainOptions(max_dist=40, bandwidth=5, min_score=10))
+    assert rows(got, *want.columns) == rows(want) and want.count() > 10
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString().lower()
 
