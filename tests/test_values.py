@@ -253,3 +253,29 @@ def test_seeds_with_a_hot_query_k_mer(spark, monkeypatch):
     want = seed_join(asked, rows_, pairwise=False)
     columns = ["qid", "qdir", "qoff", "sid", "soff"]
     assert rows(got, *columns) == rows(want, *columns) and got.count() > 10_000
+
+
+def test_placed_reads_shuffle_a_sequence_once(spark):
+    from readloom.plans import jobs
+
+    seqs = ["ACGTA", "", "acgn", "T" * 300, None, "AAAC", "G"]
+    keys = [5, 2**40, 70_000, 3, 4_000, 1_024, None]
+    want, at = [], 0
+    for i, (_, seq) in enumerate(sorted((k, s) for k, s in zip(keys, seqs, strict=True) if k is not None)):
+        seq = seq if seq is None else "".join(c if c in "ACGT" else "A" for c in seq.upper())
+        want.append((i, seq, seq if seq is None else len(seq), None if seq is None else at))
+        at += len(seq or "")
+    made = spark.createDataFrame(list(zip(keys, seqs, strict=True)), "ordinal long, seq string").repartition(3)
+    found = jobs.build_reads(made)
+    assert found.columns == ["read_id", "seq", "len", "offset"] and rows(found) == want
+    # The reads once, the others are totals of runs.
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 1 and text.count("Window [sum") == 2
+
+
+def test_runs_of_reads_keep_all_tasks_busy(spark):
+    from readloom.plans import jobs
+
+    made = spark.range(20_000).selectExpr("id AS ordinal", "'ACG' AS seq").coalesce(1)
+    found = jobs.build_reads(made).selectExpr("spark_partition_id() AS part", "read_id", "offset").toPandas()
+    assert found["part"].nunique() > 2 and (found["offset"] == 3 * found["read_id"]).all() and found["read_id"].is_unique
