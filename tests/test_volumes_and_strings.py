@@ -73,3 +73,10 @@ def test_running_sums(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i long, v array<long>")
     got = df.select("i", seq.running_sums(F.col("v")).alias("s")).orderBy("i").collect()
     assert [r["s"] for r in got] == [[sum(v[:k]) for k in range(len(v))] for v in lists]
+
+
+def test_run_lengths_look_at_runs_not_at_pairs_of_columns(spark):
+    df = spark.createDataFrame([(0, ["M"]), (1, []), (2, None), (3, ["="] * 70_000 + ["X", "D", "D"] * 2), (4, list("IIMDDM"))], "i int, ops array<string>")
+    made = df.select("i", seq.cigar_runs(F.col("ops")).alias("c"))
+    assert [r["c"] for r in made.orderBy("i").collect()] == ["1M", "", None, "70000=1X2D1X2D", "2I1M2D1M"]
+    assert "sequence(" not in made._jdf.queryExecution().analyzed().toString()
