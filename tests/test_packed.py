@@ -107,6 +107,35 @@ def test_gathered_seeds(reads, monkeypatch, order, volume):
     assert all([tuple(r) for r in g[places].to_numpy()] == sorted(tuple(r) for r in g[places].to_numpy()) for _, g in by)
 
 
+def sent(reads, k, n, max_count, stride, hot):
+    return packed._met(reads, packed.Code(k), n, max_count, stride, hot).toPandas()
+
+
+def test_stretches_are_sent_in_place_of_kmers(spark):
+    """Under 2.5 bytes a base, queries included; k-mers one by one took more than 4."""
+    letters = [text(random_bases(np.random.default_rng(i), 40_000)) for i in range(10)]
+    made = spark.createDataFrame(list(enumerate(letters)), "ordinal long, seq string").coalesce(1)
+    found = sent(jobs.placed_targets(jobs.build_reads(made), 10**9).coalesce(1), 15, 4, 50, 10, {})
+    sizes = found.groupby("bucket")["data"].agg(lambda x: sum(map(len, x)))
+    assert sizes.sum() < 2.5 * 400_000
+    assert len(sizes) == 4 and sizes.max() < 1.3 * sizes.min()
+
+
+def test_a_very_frequent_word_is_sent_once(spark):
+    word = text(random_bases(np.random.default_rng(3), 60))
+    made = spark.createDataFrame([(i, word * 40 + text(random_bases(np.random.default_rng(i), 400))) for i in range(50)], "ordinal long, seq string")
+    found = sent(jobs.placed_targets(jobs.build_reads(made), 10**9).coalesce(1), 15, 8, 50, 10, {})
+    targets = sum(len(packed.unpack(x)[0]) + int(packed.unpack(x)[10].sum()) for x in found["data"] if len(packed.unpack(x)) > 10)
+    assert targets <= 50 * 420  # of 50 * 2800
+    assert sum(len(packed.unpack(x)[2]) for x in found["data"]) == 60
+
+
+@pytest.mark.parametrize("k", [3, 5, 15, 31])
+def test_both_strands_have_one_least_word(k):
+    codes = random_bases(np.random.default_rng(k), 200)
+    assert (packed.Code(k).least(codes) == packed.Code(k).least(3 - codes[::-1])[::-1]).all()
+
+
 def test_operators_take_gathered_seeds(reads):
     """Chains, steps and anchors are the same, and no row is shuffled for a seed."""
     placed = jobs.placed_targets(reads, 10**9)
