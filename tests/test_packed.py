@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import random_bases, rows, text
+from pyspark.sql import functions as F
 
 from readloom.operators import packed, tags
 from readloom.operators.blocks import block_scores
@@ -211,3 +212,20 @@ def test_queries_that_no_target_has_make_no_rows(reads):
 
 def spark_index(reads):
     return kmers(reads.where("read_id < 3").select(reads.read_id.alias("sid"), "seq"), K).select("kmer", "sid").distinct()
+
+
+@pytest.mark.parametrize("k", [5, 15])
+def test_kmers_in_order_over_all_partitions(spark, monkeypatch, k):
+    """A k-mer that fills several ranges is cut between its reads; equal ones of a read follow each other."""
+    monkeypatch.setattr(packed, "ORDERED", 150)
+    rng = np.random.default_rng(k)
+    texts = ["A" * 60 for _ in range(30)] + [text(random_bases(rng, 80)) for _ in range(30)] + ["", "ACG"]
+    data = [(i, x, len(x)) for i, x in enumerate(texts)]
+    reads = spark.createDataFrame(data, "read_id long, seq string, len int").repartition(5)
+    made = packed.kmers_in_order(reads, k)
+    got = [tuple(r) for r in made.collect()]
+    want = sorted((x[p : p + k], i, p) for i, x, _ in data for p in range(len(x) - k + 1))
+    assert got == want
+    sizes = made.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < len(want) / 4
+    assert "RangePartitioning" not in made._jdf.queryExecution().executedPlan().toString()
