@@ -9,7 +9,7 @@ from conftest import random_bases, rows, text
 from pyspark.sql import functions as F
 
 from readloom.operators import packed, tags
-from readloom.operators.blocks import block_scores
+from readloom.operators.blocks import block_counts, block_scores
 from readloom.operators.chaining import band_chains, seed_steps
 from readloom.operators.kmers import kmer_index, kmers, query_kmers, target_kmers
 from readloom.operators.seeds import find_seeds, with_blocks
@@ -229,3 +229,19 @@ def test_kmers_in_order_over_all_partitions(spark, monkeypatch, k):
     sizes = made.groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in sizes) < len(want) / 4
     assert "RangePartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_run_where_seeds_are_gathered(reads):
+    """The same results as on rows, and no row of a seed in the plan."""
+    placed = jobs.placed_targets(reads, 1 << 40)
+    by_target, by_block = (packed.gathering(placed, K, 3, 20, order) for order in (packed.BY_TARGET, packed.BY_BLOCK))
+    plain = packed.self_seeds(placed, K, 3, 20)
+    pairs = [
+        (band_chains(plain, K, 3, ChainOptions(min_score=5)), band_chains(by_target, K, 3, ChainOptions(min_score=5), gathered=True)),
+        (seed_steps(plain), seed_steps(by_target, gathered=True)),
+        (block_scores(with_blocks(plain, 100), 3, 0.25), block_scores(with_blocks(by_block, 100), 3, 0.25, gathered=True)),
+        (block_counts(with_blocks(plain, 100), 3), block_counts(with_blocks(by_block, 100), 3)),
+    ]
+    for want, got in pairs:
+        assert rows(got, *want.columns) == rows(want) and want.count() > 0
+        assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow", 1)[0]
