@@ -1,5 +1,7 @@
 """Jobs on planted reads: the truth is known."""
 
+import time
+
 import numpy as np
 import pytest
 from conftest import planted_reads, rows
@@ -16,6 +18,7 @@ from readloom.operators.seeds import seed_join
 from readloom.plans import jobs
 from readloom.options import ConsensusOptions, MapOptions
 from readloom.schemas import CANDIDATES
+from readloom.session import Workspace
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
@@ -306,3 +309,20 @@ def test_drop_contained(spark):
 def test_candidate_columns(cands):
     assert cands.columns == CANDIDATES.names
     assert cands.groupBy("qid").agg(F.count("*").alias("n")).where("n > 200").isEmpty()
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffled():
+        status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (status.apply(i) for i in range(status.size())) if f.getName().startswith("shuffle_")}
+
+    before = shuffled()
+    df = spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).count()
+    kept = Workspace(spark, str(tmp_path)).keep("counts", df)
+    assert kept.count() == 100
+    left = lambda: [name for name in shuffled() - before if name.endswith(".data")]
+    until = time.time() + 20
+    while len(left()) > 1 and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert len(left()) <= 1, left()  # that of the count above
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") in (None, "false")
